@@ -10,11 +10,13 @@ and isotonic regression of the labels on those scores calibrates the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import quality_rules, ship, textkit, worker
 from .saved import saved
@@ -127,60 +129,74 @@ def document_statistics(df: DataFrame, keep: list[str], text_column: str = "text
     return worker.map_text(df, keep, text_column, "stats array<double>", statistics)
 
 
-def score_all(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """stats (id_column, stats, any more) with `score`, from the rows of labels
-    (id_column, quality) that are not held out.
+@dataclass(frozen=True)
+class Model:
+    """A fitted classifier: a few thousand numbers."""
 
-    Null labels are ignored and repeated ones averaged.  Without a usable label
-    every score is 0.5.  Documents without text have statistics of 0 and are
-    scored as all others.
+    mean: np.ndarray
+    spread: np.ndarray
+    beta: np.ndarray
+    knots: np.ndarray
+    values: np.ndarray
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(transform(stats, self.mean, self.spread) @ self.beta, self.knots, self.values), 0, 1)
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
+    """A model from stats (id_column, stats) and the rows of labels (id_column,
+    quality) that are not held out.
+
+    Null labels are ignored and repeated ones averaged.  Without labels on both
+    sides of a split every score is 0.5.
     """
-    spread = [F.stddev_pop(F.col("stats")[k]).alias(f"s{k}") for k in range(N_STATS)]
-    row = stats.agg(*(F.avg(F.col("stats")[k]).alias(f"m{k}") for k in range(N_STATS)), *spread).first()
+    moments = [x for k in range(N_STATS) for x in (F.avg(F.col("stats")[k]).alias(f"m{k}"), F.stddev_pop(F.col("stats")[k]).alias(f"s{k}"))]
+    row = stats.agg(*moments).first()
     mean = np.array([row[f"m{k}"] or 0.0 for k in range(N_STATS)])
     spread = np.array([row[f"s{k}"] or 1.0 for k in range(N_STATS)])
     usable = labels.filter(F.col("quality").isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     known = usable.groupBy(id_column).agg(F.avg("quality").alias("y"))
     n = known.count()
-    roll = F.pmod(F.xxhash64(F.lit(8), id_column), F.lit(1 << 20))
     if n > FIT_ROWS:
+        roll = F.pmod(F.xxhash64(F.lit(8), id_column), F.lit(1 << 20))
         known = known.filter(roll < int(FIT_ROWS / n * (1 << 20)))
     known = known.withColumn("half", F.pmod(F.xxhash64(F.lit(9), id_column), F.lit(2)).cast("int"))
-    fit = saved(stats.select(id_column, "stats").join(known, id_column).select("stats", "y", "half"))
-    sums = normal_sums(fit, mean, spread) if n else {}
-    if not sums or not all(gram[-1, -1] for gram, _ in sums.values()):
-        return stats.withColumn("score", F.lit(0.5))
+    rows = saved(stats.select(id_column, "stats").join(known, id_column).select("stats", "y", "half"))
+    sums = normal_sums(rows, mean, spread)
+    if not all(gram[-1, -1] for gram, _ in sums.values()):
+        return Model(mean, spread, np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
     across = {h: ridge(*sums[1 - h]) for h in (0, 1)}
-    final = ridge(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1])
-
-    def raw(s: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        return transform(s, mean, spread) @ beta
+    beta = ridge(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1])
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, half = matrix(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
-            score = np.where(half == 0, raw(s, across[0]), raw(s, across[1]))
+            z, half = transform(matrix(batch.column(0)), mean, spread), batch.column(2).to_numpy(zero_copy_only=False)
+            score = np.where(half == 0, z @ across[0], z @ across[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(score, -1, 2) * BINS).astype(np.int64)), batch.column(1)], names=["bin", "y"])
 
     # at most 3 * BINS rows come back
-    bins = fit.mapInArrow(crossed, "bin bigint, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).toPandas().sort_values("bin")
+    bins = rows.mapInArrow(crossed, "bin bigint, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).toPandas().sort_values("bin")
     knots, values = isotonic(bins["bin"].to_numpy(float) / BINS, bins["y"].to_numpy(float), bins["n"].to_numpy(float))
+    return Model(mean, spread, beta, knots, values)
+
+
+def apply(model: Model, stats: DataFrame) -> DataFrame:
+    """stats (any columns, stats) with `score`.  A document without words has
+    statistics of 0 and is scored as all others."""
     index = stats.columns.index("stats")
 
-    def calibrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.clip(np.interp(raw(matrix(batch.column(index)), final), knots, values), 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(matrix(batch.column(index))))], names=[*batch.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields)
-    return stats.mapInArrow(calibrated, f"{schema}, score double")
+    return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = score_all(saved(document_statistics(documents, ["doc_id"])), labels)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    stats = saved(document_statistics(documents, ["doc_id"]))
+    return apply(fit(stats, labels), stats).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}

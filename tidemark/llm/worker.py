@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
 
@@ -26,9 +27,9 @@ def state(key, make: Callable[[], object]):
 def map_text(df: DataFrame, keep: list[str], text: str, schema: str, kernel: Callable) -> DataFrame:
     """`keep` columns of df, then the columns of `schema`, which kernel(data,
     offsets) returns as a list of arrays for a slice of documents."""
-    kept = df.select(*keep)
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), schema])
-    names = [f.name for f in kept.schema.fields]
+    kept = df.select(*keep).schema.fields
+    new = T._parse_datatype_string(schema).fields
+    names, out = [f.name for f in kept], [f.name for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,8 +39,13 @@ def map_text(df: DataFrame, keep: list[str], text: str, schema: str, kernel: Cal
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
                 yield pa.RecordBatch.from_arrays(columns + made, names=names + out)
 
-    out = [part.split()[0].strip("`") for part in schema.split(", ")]
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, full)
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*kept, *new]))
+
+
+def boxed(df: DataFrame, *columns) -> DataFrame:
+    """All columns of df as one, `__row`, beside the named ones: what an
+    operator adds then can't clash with a column of df."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), *columns)
 
 
 class HashTable:
