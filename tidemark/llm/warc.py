@@ -73,40 +73,44 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(uid: int, page_id: str | None, url: str | None, payload: bytes, digest: str, origin: int | None) -> list[bytes]:
-    """The records of one page: a revisit if `origin` names another page's uid."""
-    common = [("WARC-Record-ID", f"<urn:page:{uid}>"), ("WARC-Date", "2026-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+def page_records(row: int, page_id: str | None, url: str | None, payload: bytes, digest: str, origin: str | None) -> list[bytes]:
+    """The records of one page: a revisit if `origin` is the id of the page
+    that holds its payload.  Identifiers follow from page id and payload; `row`
+    tells the segments of repeated rows apart."""
+    own = f"urn:page:{page_id}:{digest}"
+    common = [("WARC-Date", "2026-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Row", str(row))]
     if url is not None:
         common.append(("WARC-Target-URI", _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)))
     if page_id is not None:
         common.append(("X-Page-ID", page_id))
     if origin is not None:
-        return [record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{origin}>"), *common], _HTTP)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{own}:revisit>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{origin}:{digest}>"), *common], _HTTP)]
     block = _HTTP + chunked(payload)
     parts = [block[k : k + SEGMENT_BYTES] for k in range(0, len(block), SEGMENT_BYTES)]
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{own}>"), *common]
     if len(parts) == 1:
-        return [record([("WARC-Type", "response"), *common], block)]
-    out = [record([("WARC-Type", "response"), ("WARC-Segment-Number", "1"), *common], parts[0])]
+        return [record(head, block)]
+    out = [record([*head, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{uid}:{k}>"), ("WARC-Segment-Origin-ID", f"<urn:page:{uid}>"), ("WARC-Segment-Number", str(k)), *total], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{own}:{k}>"), ("WARC-Segment-Origin-ID", f"<{own}>"), ("WARC-Segment-Number", str(k)), ("X-Row", str(row)), *total], part))
     return out
 
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> None:
     """Write every row of pages to gzipped archives under path.
 
-    Rows with equal payloads of SHORTEST_REVISIT bytes or more revisit the one
-    with the smallest id (null ids last; of repeated ids, one row).  A null
-    page has an empty payload.  A row's uid is its place in the scan.
+    Rows with equal payloads of SHORTEST_REVISIT bytes or more revisit that
+    with the smallest id; null ids come last, and rows that repeat the smallest
+    id are responses each.  A null page has an empty payload.
     """
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("binary"), F.lit("").cast("binary")).alias("payload"), F.monotonically_increasing_id().alias("uid"))
+    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("binary"), F.lit("").cast("binary")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    smallest = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "uid"))
-    groups = rows.filter(F.octet_length("payload") >= SHORTEST_REVISIT).groupBy("digest").agg(smallest.alias("one"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select("digest", F.col("one.uid").alias("one"))
+    groups = rows.filter(F.octet_length("payload") >= SHORTEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("one"), F.count("*").alias("n"))
+    groups = groups.filter("n > 1").select("digest", "one")
+    # the row number is only read where it is made, within the one job below;
     # a payload with very many copies is one skewed key of this join, which AQE splits
-    rows = rows.join(groups, "digest", "left").select("uid", F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(F.col("one") != F.col("uid"), F.col("one")).alias("origin"))
+    rows = rows.join(groups, "digest", "left").select("row", F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("one")), F.col("one").cast("string")).alias("origin"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +180,7 @@ def inflated(content: bytes) -> Iterator[bytes]:
         content = member.unused_data.lstrip(b"\0")
 
 
-_PARSED = "record_id string, page_id string, record_type string, refers string, digest string, segment int, total bigint, block binary, payload_bytes bigint, payload_digest string, status string"
+_PARSED = "record_id string, row string, page_id string, record_type string, refers string, digest string, segment int, total bigint, block binary, payload_bytes bigint, payload_digest string, status string"
 
 
 def _finish(block: bytes, digest: str | None) -> tuple[int | None, str | None, str]:
@@ -195,7 +199,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     refers_to, payload_bytes, payload_digest, status (`ok`, or what is wrong)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
+        schema = pa.schema([("record_id", pa.string()), ("row", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
         for batch in batches:
             for content in batch.column(0):
                 out, size = [], 0
@@ -205,7 +209,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     digest = h["warc-payload-digest"].removeprefix("sha256:") if "warc-payload-digest" in h else None
                     segment = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                    row = {"record_id": h.get("warc-segment-origin-id") or h["warc-record-id"], "page_id": h.get("x-page-id"), "record_type": kind, "refers": h.get("warc-refers-to"), "digest": digest, "segment": segment, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
+                    row = {"record_id": h.get("warc-segment-origin-id") or h["warc-record-id"], "row": h.get("x-row"), "page_id": h.get("x-page-id"), "record_type": kind, "refers": h.get("warc-refers-to"), "digest": digest, "segment": segment, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
                     if segment is not None:
                         row["block"] = block
                         size += len(block)
@@ -220,7 +224,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     parsed = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _PARSED))
 
     # only records in segments travel with their blocks; a group is one page
-    parts = parsed.filter("segment IS NOT NULL").groupBy("record_id").agg(
+    parts = parsed.filter("segment IS NOT NULL").groupBy("record_id", "row").agg(
         F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
@@ -242,7 +246,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     columns = ["record_id", "page_id", "payload_bytes", "payload_digest", "status"]
     responses = parsed.filter("segment IS NULL AND record_type = 'response'").select(columns).unionByName(whole)
     revisits = parsed.filter("record_type = 'revisit'").select("record_id", "page_id", "refers", "digest")
-    origin = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("status").alias("origin_status"))
+    origin = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("status").alias("origin_status")).dropDuplicates(["refers"])
     status = F.when(F.col("origin_status").isNull(), "bad: nothing to revisit").when(F.col("origin_status") != "ok", F.col("origin_status")).when(F.col("digest") != F.col("payload_digest"), "bad: payload digest").otherwise("ok")
     # many revisits of one record are one skewed key, which AQE splits
     resolved = revisits.join(origin, "refers", "left").select("record_id", "page_id", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_record"), "refers_to", "payload_bytes", "payload_digest", status.alias("status"))
