@@ -56,7 +56,7 @@ def imputation_methods(layer: DataFrame) -> DataFrame:
     for m in IMPUTED:
         v = masked(m, F.col("probable_error"))
         n = F.count(v)
-        skew = F.when(n > 2, F.skewness(v) * F.sqrt(n * (n - 1.0)) / (n - 2.0)).otherwise(F.lit(0.0))
+        skew = F.when((n > 2) & (F.var_pop(v) > 0), F.skewness(v) * F.sqrt(n * (n - 1.0)) / (n - 2.0)).otherwise(F.lit(0.0))
         aggregates.append(F.struct(F.lit(m).alias("field"), n.alias("observed"), F.count_if(F.col(m).isNull()).alias("missing"), F.avg(v).alias("mean"), F.median(v).alias("median"), skew.alias("skewness"), F.lit(None).cast("string").alias("label")).alias(m))
     counts = layer.filter("zone IS NOT NULL").groupBy("zone").agg(F.count("*").alias("n"))
     zone = counts.agg(F.sum("n").alias("observed"), F.min(F.struct((-F.col("n")).alias("x"), "zone"))["zone"].alias("label")).crossJoin(layer.agg(F.count_if(F.col("zone").isNull()).alias("missing")))
