@@ -19,7 +19,7 @@ LOWEST_SCORE = 0.5
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the newest policy of the rule ledger.  The rule
     few_words rejects null and empty texts; repeated rows are judged each."""
-    entries = quality_rules.ledger(worker.boxed(docs, "text"), ["__row"])
+    entries = quality_rules.ledger(worker.boxed(docs), ["__row"], "__row.text")
     return entries.filter(quality_rules.passes("full-1")).select("__row.*")
 
 
@@ -30,7 +30,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality_classifier.fit(saved(quality_classifier.document_statistics(raw, ["doc_id"])), labels)
-    scored = quality_classifier.apply(model, quality_classifier.document_statistics(worker.boxed(docs, "text"), ["__row"]))
+    scored = quality_classifier.apply(model, quality_classifier.document_statistics(worker.boxed(docs), ["__row"], "__row.text"))
     return scored.filter(F.col("score") >= LOWEST_SCORE).select("__row.*")
 
 

@@ -215,6 +215,7 @@ def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media"
             columns = zip(*rows) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(columns, fields))], names=[id_column, *(n for n, _ in fields)])
 
+    worker.small_batches(df.sparkSession)
     schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string'}" for n, t in fields)
     return df.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, {schema}")
 

@@ -30,7 +30,7 @@ END_OF_TEXT = 1
 #: Mean rows of a packing group.
 GROUP_ROWS = 8192
 #: Units that a worker remembers.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 500_000
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -132,6 +132,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                         row.append(d), piece.append(p), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_column, "piece", "start", "length", "ids_crc32"])
 
+    worker.small_batches(df.sparkSession)
     return df.select(id_column, F.col(text_column).alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, {PIECES}")
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single document is its own slice.
 SLICE_BYTES = 1 << 20
@@ -42,9 +43,12 @@ _LOWER[65:91] += 32
 
 def slices(batch: pa.RecordBatch, column: str = "text"):
     """Yield (rows, data, offsets) over a batch: the rows as a RecordBatch, the
-    text bytes and where each row's bytes begin and end.  Null is empty."""
-    index = batch.schema.get_field_index(column)
-    text = batch.column(index)
+    text bytes and where each row's bytes begin and end.  Null is empty.  The
+    column may be a field of a struct column, as `struct.field`."""
+    outer, _, inner = column.partition(".")
+    text = batch.column(batch.schema.get_field_index(outer))
+    if inner:
+        text = pc.struct_field(text, inner)
     if text.null_count:
         text = text.fill_null(b"" if pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type) else "")
     large = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)

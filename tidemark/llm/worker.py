@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
 
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
 
 def state(key, make: Callable[[], object]):
     """An object that a worker process keeps between its tasks: a pure cache,
@@ -26,20 +30,37 @@ def state(key, make: Callable[[], object]):
 
 def map_text(df: DataFrame, keep: list[str], text: str, schema: str, kernel: Callable) -> DataFrame:
     """`keep` columns of df, then the columns of `schema`, which kernel(data,
-    offsets) returns as a list of arrays for a slice of documents."""
+    offsets) returns as a list of arrays for a slice of documents.  A text that
+    is a field of a kept struct, as `__row.text`, isn't sent twice."""
     kept = df.select(*keep).schema.fields
     new = T._parse_datatype_string(schema).fields
     names, out = [f.name for f in kept], [f.name for f in new]
+    source = text if "." in text and text.split(".")[0] in names else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in textkit.slices(batch, "__text"):
+            for rows, data, offsets in textkit.slices(batch, source):
                 made = kernel(data, offsets)
                 columns = [rows.column(rows.schema.get_field_index(n)) for n in names]
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
                 yield pa.RecordBatch.from_arrays(columns + made, names=names + out)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType([*kept, *new]))
+    small_batches(df.sparkSession)
+    sent = df.select(*keep) if source != "__text" else df.select(*keep, F.col(text).alias("__text"))
+    return sent.mapInArrow(run, T.StructType([*kept, *new]))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by size: rows of text differ in length by
+    orders of magnitude, and several batches are in memory at once."""
+    for limit, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{limit}"
+        try:
+            held = int(re.sub("[^0-9-]", "", spark.conf.get(name)) or -1)
+        except Exception:  # a setting that this version of Spark doesn't have
+            continue
+        if held <= 0 or held > most:
+            spark.conf.set(name, str(most))
 
 
 def boxed(df: DataFrame, *columns) -> DataFrame:
