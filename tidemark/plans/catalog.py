@@ -7,6 +7,7 @@ distributed sum is not fixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,11 @@ class Tables:
     def validation(self) -> DataFrame:
         return plausibility.neighbour_validation(self.layer, self.daily)
 
-    @property
+    @cached_property
     def marked(self) -> DataFrame:
-        return plausibility.with_probable_errors(self.layer, self.validation)
+        """Kept while a query lives: its plan has two joins and a window, and
+        the queries that use it do so many times."""
+        return plausibility.with_probable_errors(self.layer, self.validation).persist()
 
 
 def dashboard_city_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
