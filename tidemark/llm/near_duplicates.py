@@ -41,6 +41,8 @@ REGISTERS, BAND, BASE, RATE = 192, 6, 1.1, 20.0
 MARGIN = 5.0
 #: Members compared at once in step 4, and members of one comparing task.
 BLOCK, CHUNK = 256, 2048
+#: Ids that may be broadcast, about 50 MB in an executor.
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -124,6 +126,7 @@ def stars(members: DataFrame) -> DataFrame:
 def by_leader(rows: DataFrame, run, schema: str) -> DataFrame:
     """Run over rows sorted by (leader, part, kind): the rows of one (leader,
     part) reach one task, those of kind 0 first."""
+    worker.small_batches(rows.sparkSession)
     return rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "kind", "rep").mapInArrow(run, schema)
 
 
@@ -297,7 +300,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     classes = saved(full.groupBy("grp").agg(F.min(F.col(id_column).cast("bigint")).alias("rep"), F.first("registers").alias("registers")))
     members = saved(buckets(classes))
     pairs = saved(stars(members))
-    involved = pairs.select("rep").unionByName(pairs.select(F.col("leader").alias("rep"))).distinct()
+    involved = saved(pairs.select("rep").unionByName(pairs.select(F.col("leader").alias("rep"))).distinct())
     sets = saved(full_sets(df, involved, id_column, text_column, width).join(classes.select("rep", "registers"), "rep"))
     compared = saved(compare_with_leaders(pairs, sets, percent))
     links = saved(compared.filter(f"shared >= 0 AND 100 * shared >= {percent} * (n + n_leader - shared)").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
@@ -312,6 +315,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def full_sets(df: DataFrame, involved: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
     """(rep, hashes) of the documents in `involved`, from their texts."""
+    if involved.count() <= BROADCAST_IDS:  # else the join shuffles the texts once
+        involved = F.broadcast(involved)
     texts = df.select(F.col(id_column).cast("bigint").alias("rep"), F.col(text_column).alias("text")).join(involved, "rep", "left_semi")
 
     def kernel(data, offsets):
