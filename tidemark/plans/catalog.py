@@ -158,10 +158,10 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # iterative or simulated: no SQL twin
     "group_gates": lambda t: rounded(stats.group_gates(t.marked, 19)),
     "provenance_diagnostics": lambda t: rounded(provenance.diagnostics(t.layer, 5)),
-    "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked, ["traffic_volume", "temperature_c"])),
+    "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked, ["temperature_c"])),
     "relationship_effects": lambda t: rounded(models.relationship_effects(t.marked, 50)),
-    "group_effects": lambda t: rounded(models.group_effects(t.marked, 20, metrics=["road_incidents", "temperature_c"])),
-    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, ["road_incidents", "temperature_c"], replicates=50)),
+    "group_effects": lambda t: rounded(models.group_effects(t.marked, 20, metrics=["road_incidents"])),
+    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, ["road_incidents"], replicates=50)),
     "imputed_gates": lambda t: rounded(stats.hypothesis_gates(scenarios.imputed_layer(t.marked, scenarios.imputation_methods(t.marked)))),
     "fitness_decision": lambda t: governance.fitness(governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer))),
 }
