@@ -25,6 +25,8 @@ CELLS = 16
 PARTS = 64
 #: Rows of one sort task of the final slots, about.
 BUCKET_ROWS = 20_000
+#: Buckets at least, so that small inputs spread as well.
+LEAST_BUCKETS = 256
 
 
 def _loads(cells: DataFrame, shards: int) -> list[int]:
@@ -86,7 +88,7 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
 def ranks(df: DataFrame, key: str, rows: int, tie: list[str]) -> DataFrame:
     """Adds `rank`, gapless from 0 within each key: keys are cut into hash
     buckets of about BUCKET_ROWS, whose counts give where each begins."""
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets = max(LEAST_BUCKETS, rows // BUCKET_ROWS)
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(3), *tie), F.lit(buckets)))
     counts = dealt.groupBy(key, "__bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
