@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import canonical_label, correlation_p, erfc, parse_timestamp, valid
 from tidemark.functions.ranks import average_ranks, neighbours, positions
 from tidemark.operators import api, layers, models, plausibility, quality, scenarios, stats
-from tidemark.schema import METRICS, SOURCE_COLUMNS, SOURCE_SCHEMA
+from tidemark.schema import FOLDS, METRICS, SOURCE_COLUMNS, SOURCE_SCHEMA
 from tidemark.sources import observations as sources
 
 
@@ -236,6 +236,38 @@ def test_models_against_numpy(spark):
     assert models.count_model(counted, 2).family == "poisson"
 
 
+def test_ridge_forecast_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    begin = dt.datetime(2026, 1, 1)
+    made = [{"city": "Pune" if k % 3 else "Delhi", "traffic_volume": int(100 + 20 * (k % 6) + rng.integers(0, 9)), "timestamp_text": str(begin + dt.timedelta(hours=4 * k))} for k in range(72)]
+    layer = canon(spark, made).withColumn("probable_error", F.lit(False))
+    rows = models.analysis_rows(layer).toPandas().sort_values(["ts", "record_id"]).reset_index(drop=True)
+    y = rows["traffic_volume"].to_numpy(float)
+    columns = [np.ones(len(rows))]
+    for factor in ("city", "zone", "month", "hour", "weekday"):
+        columns += [(rows[factor] == level).to_numpy(float) for level in sorted(rows[factor].unique())[1:]]
+    X = np.stack(columns, axis=1)
+    penalty = np.diag([0.0] + [1.0] * (X.shape[1] - 1))
+    found = models.ridge_forecast(layer, ["traffic_volume"]).orderBy("fold").collect()
+    assert [r["fold"] for r in found] == [1, 2, 3]
+    for r, (_, a, b) in zip(found, FOLDS):
+        cut, end = int(72 * a), int(72 * b)
+        beta = np.linalg.solve(X[:cut].T @ X[:cut] + penalty, X[:cut].T @ y[:cut])
+        error = y[cut:end] - X[cut:end] @ beta
+        known = rows[:cut].groupby(["city", "month"])["traffic_volume"].median()
+        base = np.array([known[(c, m)] for c, m in zip(rows["city"][cut:end], rows["month"][cut:end])])
+        assert r["test_n"] == end - cut
+        assert np.isclose(r["model_mae"], np.abs(error).mean()) and np.isclose(r["baseline_mae"], np.abs(y[cut:end] - base).mean())
+        assert np.isclose(r["r2"], 1 - (error**2).sum() / ((y[cut:end] - y[cut:end].mean()) ** 2).sum())
+        assert r["useful"] == (r["improvement"] >= 0.1 and r["r2"] >= 0.1)
+
+
+def test_lagged_forecast_of_few_rows_is_empty(spark):
+    layer = canon(spark, [{}, {}]).withColumn("probable_error", F.lit(False))
+    none = models.lagged_forecast(layer, ["traffic_volume"], replicates=5)
+    assert none.count() == 0 and none.columns[-2:] == ["improvement_low", "improvement_high"]
+
+
 def test_permutation_p_is_small_for_an_effect(spark):
     layer = canon(spark, [{"city": c, "traffic_volume": v} for c, v in zip("aaaaaabbbbbb", (1, 2, 1, 2, 1, 2, 9, 8, 9, 8, 9, 8))])
     row = stats.permutation_eta(layer, "city", 99, metrics=["traffic_volume"]).first()
