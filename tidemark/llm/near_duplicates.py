@@ -194,13 +194,12 @@ def compare_rest(compared: DataFrame, labels: DataFrame, sets: DataFrame, percen
     linked = (F.col("shared") >= 0) & (100 * F.col("shared") >= percent * (F.col("n") + F.col("n_leader") - F.col("shared")))
     distance = F.when(F.col("shared") >= 0, 1 - F.col("shared") / (F.col("n") + F.col("n_leader") - F.col("shared"))).otherwise(F.lit(-1.0))
     members = compared.select("leader", "rep", linked.alias("linked"), distance.alias("far"), "n")
-    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep2")
+    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # a linked member can only matter if some loose one is near enough
     loose = members.filter(~F.col("linked"))
     counts = loose.groupBy("leader").agg(F.count("*").alias("loose"), F.min(F.when(F.col("far") >= 0, F.col("far")).otherwise(F.lit(0.0))).alias("nearest"), F.min("n").alias("least"), F.max("n").alias("most"))
     reach = 1 - percent / 100 + 1e-9
-    others = members.join(counts, "leader").filter((F.col("loose") > 1) | F.col("linked") | (F.lit(True)))
-    others = others.filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach)).filter((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+    others = members.join(counts, "leader").filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach)).filter((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
     sizes = others.groupBy("leader").agg(F.count("*").alias("others"), F.countDistinct("component").alias("components")).filter("components > 1")
     # blocks of loose members meet chunks of all others of their star
     shape = counts.join(sizes, "leader").select("leader", F.ceil(F.col("loose") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / CHUNK).cast("int").alias("chunks"))
