@@ -278,3 +278,58 @@ def test_bootstrap_interval_holds_the_mean(spark):
     values = spark.createDataFrame([("m", f"r{k}", float(k % 10)) for k in range(500)], "metric string, record_id string, value double")
     row = stats.bootstrap_mean(values, ["metric"], 100).first()
     assert row["ci_low"] < row["mean"] == 4.5 < row["ci_high"]
+
+
+REPLICATED = {"permutation_eta": 5000, "bootstrap_mean": 5000, "group_gates": 5000, "diagnostics": 5000, "relationship_effects": 3000, "group_effects": 3000, "lagged_forecast": 3000}
+
+
+def test_registered_replicates(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.operators import provenance
+    from tidemark.plans import catalog
+
+    asked = {}
+
+    def ask(name):
+        def made(*args, **given):
+            asked[name] = next((v for v in [*args, given.get("replicates")] if isinstance(v, int) and v > 0), None)
+
+        return made
+
+    monkeypatch.setattr(catalog, "rounded", lambda df: df)
+    monkeypatch.setattr(stats, "long_values", lambda *args: None)
+    for name in REPLICATED:
+        module = next(m for m in (stats, models, provenance) if hasattr(m, name))
+        monkeypatch.setattr(module, name, ask(name))
+    for name in REPLICATED:
+        catalog._OF_TABLES["provenance_diagnostics" if name == "diagnostics" else name](SimpleNamespace(marked=None, layer=None))
+    assert asked == REPLICATED
+
+
+def test_blocks_of_replicates_change_nothing(spark, monkeypatch):
+    from tidemark.functions import ranks
+
+    assert ranks.replicate_blocks(ranks.BLOCK_ROWS, 3) == [(1, 1), (2, 2), (3, 3)] and ranks.replicate_blocks(0, 3) == [(1, 3)]
+    layer = canon(spark, [{"city": c, "traffic_volume": v} for c, v in zip("aabbab", (1, 2, 3, 2, 1, 5))])
+    one = stats.permutation_eta(layer, "city", 7, metrics=["traffic_volume"]).collect()
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", 20)
+    assert stats.permutation_eta(layer, "city", 7, metrics=["traffic_volume"]).collect() == one
+
+
+def test_block_bootstrap_against_numpy_with_many_replicates(spark):
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    x, day = rng.normal(size=60), [f"d{k % 6}" for k in range(60)]
+    y = 2 + 3 * x + rng.normal(size=60)
+    rows = spark.createDataFrame([(float(a), float(b), d) for a, b, d in zip(x, y, day)], "x0 double, y double, observation_date string")
+    xy = rows.select("observation_date", "y", F.array(F.lit(1.0), "x0").alias("x")).repartition(3)
+    fit = models.Fit("huber", np.array([2.0, 3.0]), 1.0)
+    found = models.block_bootstrap(xy, fit, 2, 3000, 7)
+    X, bounds = np.stack([np.ones(60), x], axis=1), np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    for r in (0, 1, 1499, 2999):
+        u = {d: int(hashlib.md5(f"7|{r}|{d}".encode()).hexdigest()[:8], 16) for d in set(day)}
+        w = models.huber_weights(y - X @ fit.beta, 1.0) * np.array([sum(u[d] >= int(b * 2**32) for b in bounds) for d in day])
+        assert np.allclose(found[r], models.solve(models._moments(X, w, y), 2))
+    assert found.shape == (3000, 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,33 @@ def positions(df: DataFrame, keys: list[str], coarse: Column, order: list, name:
     return cut.withColumn("__row", F.row_number().over(within)).join(starts, same).withColumn(name, F.col("__start") + F.col("__row")).drop("__coarse", "__row", "__start", "__c", *[f"__k_{k}" for k in keys])
 
 
+#: Rows that the replicates of one job are dealt out as, about.
+BLOCK_ROWS = 20_000_000
+
+
+def replicate_blocks(rows: int, replicates: int) -> list[tuple[int, int]]:
+    """Replicates 1 to `replicates` as (first, last) of jobs in turn, so that
+    disk is bounded by one job's rows whatever their number."""
+    step = max(1, BLOCK_ROWS // max(rows, 1))
+    return [(k, min(k + step - 1, replicates)) for k in range(1, replicates + 1, step)]
+
+
+def in_blocks(blocks: list[tuple[int, int]], make: Callable[[int, int], DataFrame]) -> DataFrame:
+    """The union of make(first, last), whose rows are few per replicate.  A
+    single block stays lazy; of several each is a job, and its shuffles go
+    before the next."""
+    if len(blocks) == 1:
+        return make(*blocks[0])
+    rows = []
+    for block in blocks:
+        made = make(*block)
+        rows += made.collect()
+        spark, schema = made.sparkSession, made.schema
+        del made
+        spark.sparkContext._jvm.System.gc()
+    return spark.createDataFrame(rows, schema)
+
+
 def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
     """Average ranks of distinct values with their counts: ties share a rank.
     Works on (keys, value, n), so its size is that of the distinct values."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import correlation, correlation_p, fisher_bounds, masked, uniform32
-from ..functions.ranks import average_ranks, positions
+from ..functions.ranks import average_ranks, in_blocks, positions, replicate_blocks
 from ..schema import ALPHA, ETA_GATE, FACTORS, METRICS, PAIRS, RHO_GATE, UNKNOWN, Z99
 
 _ONE = 1 << 32
@@ -144,18 +144,23 @@ def permutation_eta(layer: DataFrame, factor: str, replicates: int, seed: int =
     Labels in sorted order are laid along each replicate's random order of the
     values, so only ranks and the labels' counts are needed, never a shuffle of
     labels.  Ranks come from counts per MD5 prefix: no task sorts a replicate.
+    Many replicates are dealt in blocks, a job each.
     """
     rows = long_values(layer.filter(F.col(factor).isNotNull()), ["record_id", factor], probable, metrics).withColumn("level", F.col(factor).cast("string"))
     sums = rows.groupBy("metric", "level").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     upto = F.sum("n").over(Window.partitionBy("metric").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
     spans = sums.select("metric", F.col("level").alias("dealt"), (upto - F.col("n")).alias("lo"), upto.alias("hi"), F.col("n").alias("k"))
     spans = spans.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("hi", "dealt", "k"))).alias("spans"))  # a few levels
-    each = rows.select("metric", "value", "record_id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    each = each.withColumn("md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "metric", "record_id")))
-    placed = positions(each, ["metric", "rep"], F.substring("md5", 1, 2), ["md5", "record_id"], "pos").join(spans, "metric")
-    dealt = placed.withColumn("hit", F.filter("spans", lambda s: s["hi"] >= F.col("pos"))[0])
-    groups = dealt.groupBy("metric", "rep", "hit.dealt").agg(F.sum("value").alias("s"), F.max("hit.k").alias("k"))
-    between = groups.groupBy("metric", "rep").agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("b"))
+
+    def drawn(first: int, last: int) -> DataFrame:
+        each = rows.select("metric", "value", "record_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("rep"))
+        each = each.withColumn("md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "metric", "record_id")))
+        placed = positions(each, ["metric", "rep"], F.substring("md5", 1, 2), ["md5", "record_id"], "pos").join(spans, "metric")
+        dealt = placed.withColumn("hit", F.filter("spans", lambda s: s["hi"] >= F.col("pos"))[0])
+        groups = dealt.groupBy("metric", "rep", "hit.dealt").agg(F.sum("value").alias("s"), F.max("hit.k").alias("k"))
+        return groups.groupBy("metric", "rep").agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("b"))
+
+    between = in_blocks(replicate_blocks(rows.count(), replicates), drawn)
     total = sums.groupBy("metric").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b0"))
     centre = F.col("s") * F.col("s") / F.col("n")
     eta = lambda b: F.when(F.col("ss") - centre <= 0, F.lit(0.0)).otherwise((b - centre) / (F.col("ss") - centre))
@@ -225,7 +230,7 @@ def hypothesis_table(layer: DataFrame) -> DataFrame:
     return tests.select("hypothesis", "x", "y", "n", "pearson", "rho", "ci_low", "ci_high", "p", "p_holm", (F.col("p_holm") < ALPHA).alias("significant"))
 
 
-def group_gates(layer: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+def group_gates(layer: DataFrame, replicates: int = 5000, seed: int = 0) -> DataFrame:
     """City and zone effects with permutation p, Holm within each factor, and
     both gates.  layer has probable_error; unknown zones are left out."""
     parts = [permutation_eta(layer, f, replicates, seed, True).withColumn("factor", F.lit(f)) for f in ("city", "zone")]

@@ -18,6 +18,9 @@ from ..schema import METRICS
 from ..sources.observations import daily_benchmarks, observations, table, upsert
 from ..streaming.refresh import slot_counts
 
+#: Replicates of the registered resampling queries (fixed values: those of the
+#: method; PROVENANCE_PROTOCOL has its own).
+PERMUTATIONS, BOOTSTRAPS, BLOCK_BOOTSTRAPS = 5000, 5000, 3000
 Query = Callable[[SparkSession, str], DataFrame]
 _TS = "yyyy-MM-dd HH:mm:ss"
 
@@ -155,13 +158,16 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "upsert": lambda t: upsert(plausibility.city_benchmark(t.daily).select("city", "low"), t.raw.sparkSession.createDataFrame([("ASIA", -1.0)], "city string, low double"), ["city"]),
     "registries": lambda t: governance.registries(t.raw.sparkSession),
     "evidence_rollup": lambda t: governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer)),
-    # iterative or simulated: no SQL twin
-    "group_gates": lambda t: rounded(stats.group_gates(t.marked, 19)),
-    "provenance_diagnostics": lambda t: rounded(provenance.diagnostics(t.layer, 5)),
+    # iterative or simulated, with the method's replicates: no SQL twin.  The
+    # two named _small are the first two with the few that their SQL has
+    "permutation_eta": lambda t: rounded(stats.permutation_eta(t.marked, "city", PERMUTATIONS, 0, True)),
+    "bootstrap_mean": lambda t: rounded(stats.bootstrap_mean(stats.long_values(t.layer, ["record_id"]), ["metric"], BOOTSTRAPS)),
+    "group_gates": lambda t: rounded(stats.group_gates(t.marked, PERMUTATIONS)),
+    "provenance_diagnostics": lambda t: rounded(provenance.diagnostics(t.layer, governance.PROVENANCE_PROTOCOL[0][1])),
     "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked, ["temperature_c"])),
-    "relationship_effects": lambda t: rounded(models.relationship_effects(t.marked, 50)),
-    "group_effects": lambda t: rounded(models.group_effects(t.marked, 20, metrics=["road_incidents"])),
-    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, ["road_incidents"], replicates=50)),
+    "relationship_effects": lambda t: rounded(models.relationship_effects(t.marked, BLOCK_BOOTSTRAPS)),
+    "group_effects": lambda t: rounded(models.group_effects(t.marked, BLOCK_BOOTSTRAPS, metrics=["road_incidents"])),
+    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, ["road_incidents"], replicates=BLOCK_BOOTSTRAPS)),
     "imputed_gates": lambda t: rounded(stats.hypothesis_gates(scenarios.imputed_layer(t.marked, scenarios.imputation_methods(t.marked)))),
     "fitness_decision": lambda t: governance.fitness(governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer))),
 }
