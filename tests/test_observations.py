@@ -333,3 +333,23 @@ def test_block_bootstrap_against_numpy_with_many_replicates(spark):
         w = models.huber_weights(y - X @ fit.beta, 1.0) * np.array([sum(u[d] >= int(b * 2**32) for b in bounds) for d in day])
         assert np.allclose(found[r], models.solve(models._moments(X, w, y), 2))
     assert found.shape == (3000, 2)
+
+
+@pytest.mark.parametrize("name", ["ridge_forecast", "group_effects", "lagged_forecast"])
+def test_registered_for_all_metrics(monkeypatch, name):
+    import inspect
+    from types import SimpleNamespace
+
+    from tidemark.plans import catalog
+
+    signature, asked = inspect.signature(getattr(models, name)), []
+
+    def made(*args, **given):
+        bound = signature.bind(*args, **given)
+        bound.apply_defaults()
+        asked.append(bound.arguments["metrics"])
+
+    monkeypatch.setattr(catalog, "rounded", lambda df: df)
+    monkeypatch.setattr(models, name, made)
+    catalog._OF_TABLES[name](SimpleNamespace(marked=None))
+    assert asked == [METRICS] and len(METRICS) == 9

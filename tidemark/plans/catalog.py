@@ -164,10 +164,10 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "bootstrap_mean": lambda t: rounded(stats.bootstrap_mean(stats.long_values(t.layer, ["record_id"]), ["metric"], BOOTSTRAPS)),
     "group_gates": lambda t: rounded(stats.group_gates(t.marked, PERMUTATIONS)),
     "provenance_diagnostics": lambda t: rounded(provenance.diagnostics(t.layer, governance.PROVENANCE_PROTOCOL[0][1])),
-    "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked, ["temperature_c"])),
+    "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked)),
     "relationship_effects": lambda t: rounded(models.relationship_effects(t.marked, BLOCK_BOOTSTRAPS)),
-    "group_effects": lambda t: rounded(models.group_effects(t.marked, BLOCK_BOOTSTRAPS, metrics=["road_incidents"])),
-    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, ["road_incidents"], replicates=BLOCK_BOOTSTRAPS)),
+    "group_effects": lambda t: rounded(models.group_effects(t.marked, BLOCK_BOOTSTRAPS)),
+    "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, replicates=BLOCK_BOOTSTRAPS)),
     "imputed_gates": lambda t: rounded(stats.hypothesis_gates(scenarios.imputed_layer(t.marked, scenarios.imputation_methods(t.marked)))),
     "fitness_decision": lambda t: governance.fitness(governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer))),
 }
