@@ -161,6 +161,34 @@ def test_licences(spark):
     assert found["a/b/c/z.py"][:2] == ("Apache-2.0", "own") and found["d/q.py"] == (None, "none", None) and found[None] == (None, "none", None)
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    tail = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    notices = {
+        "GPL-3.0": gnu.format("program", ":", "", ",", "3"), "GPL-2.0": gnu.format("program", ";", "", ";", "2"), "AGPL-3.0": gnu.format("program", ":", "Affero ", ",", "3"), "LGPL-3.0": gnu.format("library", ":", "Lesser ", ",", "3"), "LGPL-2.1": gnu.format("library", ";", "Lesser ", ";", "2.1"),
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "MIT": licenses.NOTICES[-5][1],
+    }
+    rows = []
+    for name, notice in notices.items():
+        for shape, mark in (("#", "# "), ("*", " * "), ("//", "// "), ("plain", "")):
+            wrapped = "\n".join(mark + line for line in textwrap.wrap(notice, 72))
+            rows.append((f"{name} {shape}", f"{mark}Copyright (C) 2020 Some Body\n{mark.rstrip()}\n{wrapped}\n{mark.rstrip()}\n{mark}{tail}\nimport x\n"))
+        rows.append((f"{name} one", notice + "\n\ncode"))
+    rows += [(f"{name} title", f"                    {title}\n                       {version}\n\n Copyright (C) Free Software Foundation, Inc.\n") for name, title, version in (("GPL-3.0", "GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"))]
+    rows += [("None prose", "a free copy of the program\nwas published by the library in version 3\n"), ("two lines", "Released under the MIT License\nLicensed under the Apache License, Version 2.0")]
+    rows += [(f"None {k}", t) for k, t in enumerate(prose(100))]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: r for r in licenses.scan(df, "path", F.col("path"), F.lit(False)).collect()}
+    assert got["two lines"]["n_licenses"] == 2
+    wrong = {p: (r["own_license"], r["own_score"], r["n_licenses"]) for p, r in got.items() if p != "two lines" and (str(r["own_license"]), r["n_licenses"]) != (p.split(" ")[0], int(not p.startswith("None")))}
+    assert not wrong
+
+
 def test_markers_are_lossless():
     idf = {w: 1.0 + len(w) % 3 for w in licenses.VOCABULARY}
     vectors = licenses.template_weights(idf)
