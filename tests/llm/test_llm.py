@@ -94,6 +94,23 @@ def test_packing_round_trip(spark):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
+def test_sequences_hold_the_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_path())
+    texts = TEXTS + prose(40) + ["again and again"] * 2
+    table = docs(spark, texts)
+    table = table.unionByName(table.filter("doc_id = 2"))
+    parts = packing.pieces(table)
+    placed = packing.pack_documents(table)
+    found = {r["sequence_id"]: r["ids"] for r in packing.sequences(placed, parts).collect()}
+    rows = placed.collect()
+    assert sum(map(len, found.values())) == sum(r["length"] for r in rows)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [1]
+        assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["start"] : r["start"] + r["length"]]
+
+
 def test_sum_of_squares_rule():
     where, offset = packing.sum_of_squares(np.array([6, 6, 4, 4, 3]), 10)
     assert where[0] != where[1] and sorted(where[2:4]) == sorted(where[:2]) and where[4] not in where[:4]
@@ -267,6 +284,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert {k: r["refers_to"] for k, r in found.items() if r["record_type"] == "revisit"} == {"3": "2", "6": "5", None: "5"}
 
 
+def test_readers_return_payloads(spark, tmp_path):
+    htmls = ["é<p>" * 30_000, "é<p>" * 30_000, None, "x" * 100, "x" * 100, "short"]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "archives"))
+    got = warc.read_archives(spark, str(tmp_path / "archives"))
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in got.collect()} == {str(k): h or "" for k, h in enumerate(htmls)}
+    thin = warc.read_archives(spark, str(tmp_path / "archives"), payload=False)
+    assert thin.columns == got.columns[:-1] and sorted(map(str, thin.collect())) == sorted(map(str, got.drop("payload").collect()))
+    media = {r["doc_id"]: r["payload"] for r in ogg.decode(ogg.encode(docs(spark, TEXTS))).collect()}
+    assert all(bytes(media[k]).rstrip(b"\xff") == (t or "").encode() for k, t in enumerate(TEXTS))
+
+
 def test_broken_archives_are_told(spark, tmp_path):
     import gzip
 

@@ -193,21 +193,25 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return worker.map_text(df, [id_column], text_column, "media binary", kernel)
 
 
-def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """What reading the files gives, one row each.  `status` is ok, or says
+def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media", payload: bool = True) -> DataFrame:
+    """What reading the files gives, one row each, with the payload unless
+    `payload` is false: then only its digests leave the workers.  `status` is ok, or says
     what is wrong with the file, and the other columns are then null; a null
     file has the status `no media`."""
     kind = df.schema[id_column].dataType.simpleString()
     fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("status", pa.string())]
+    fields += [("payload", pa.binary())] * payload
+    with_payload = payload
+    no_payload = (None,) * with_payload
 
     def read(media: bytes | None) -> tuple:
         if media is None:
-            return (None,) * 7 + ("no media",)
+            return (None,) * 7 + ("no media",) + no_payload
         try:
             payload, found = decode_payload(media)
         except (BadMedia, struct.error, IndexError, ValueError) as error:
-            return (None,) * 7 + (f"bad: {error}",)
-        return len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload, found), "ok"
+            return (None,) * 7 + (f"bad: {error}",) + no_payload
+        return len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload, found), "ok", *([payload] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,13 +220,13 @@ def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(columns, fields))], names=[id_column, *(n for n, _ in fields)])
 
     worker.small_batches(df.sparkSession)
-    schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string'}" for n, t in fields)
+    schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in fields)
     return df.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, {schema}")
 
 
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-8 holds no byte 255, so the unpadded length is read back as well."""
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("status")
+    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), payload=False).drop("status")
 
 
 QUERIES = {"op9_ogg": op9_ogg}

@@ -7,7 +7,7 @@ length s goes to the open bin for which the sum of N(g)**2 becomes smallest.
 Pieces come longest first and a bin is opened only when no open bin has room,
 so a group leaves at most one bin less than half full; with thousands of
 pieces a group that is a small part of one per cent.  Only lengths and digests
-travel to the groups, never the ids.
+travel to the groups; `sequences` joins the ids to the places.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ GROUP_ROWS = 8192
 #: Units that a worker remembers.
 CACHE_UNITS = 500_000
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+IDS = ", ids array<int>"
 
 
 def default_path() -> str:
@@ -110,8 +111,10 @@ class Encoder:
         return ids, out
 
 
-def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, size: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT) -> DataFrame:
-    """Per piece of a document: id_column, piece, start, length, ids_crc32."""
+def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, size: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, ids: bool = True) -> DataFrame:
+    """Per piece of a document: id_column, piece, start, length, ids_crc32 and
+    ids, its token ids.  Without `ids` they aren't sent from the workers."""
+    with_ids = ids
     with open(path or default_path(), encoding="utf-8") as file:
         spec = file.read()
     shared = df.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file, about 1.7 MB
@@ -123,17 +126,20 @@ def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             for rows, data, offsets in textkit.slices(batch, "__text"):
                 ids, ends = encoder.encode(data, offsets)
-                row, piece, length, crc = [], [], [], []
+                row, piece, length, crc, parts = [], [], [], [], []
                 for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                     own = np.empty(b - a + 1, "<u4")
                     own[:-1], own[-1] = ids[a:b], end
                     for p, k in enumerate(range(0, len(own), size)):
                         part = own[k : k + size]
                         row.append(d), piece.append(p), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_column, "piece", "start", "length", "ids_crc32"])
+                        if with_ids:
+                            parts.append(part.astype(np.int32))
+                extra = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *extra], names=[id_column, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     worker.small_batches(df.sparkSession)
-    return df.select(id_column, F.col(text_column).alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, {PIECES}")
+    return df.select(id_column, F.col(text_column).alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, {PIECES}{IDS * with_ids}")
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +194,24 @@ def pack_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     each.  An empty table gives no rows.  Other columns of df are ignored.
     Reruns give the same places for the same rows.
     """
-    return pack(pieces(df, id_column, text_column, path, size), df.count(), id_column, size)
+    return pack(pieces(df, id_column, text_column, path, size, ids=False), df.count(), id_column, size)
+
+
+def sequences(placed: DataFrame, parts: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(sequence_id, ids): the token ids of each sequence, its pieces in the
+    order of their offsets; placed are pack's rows, parts are pieces with ids.
+
+    They meet by document, piece, length and digest.  Parts equal in all four
+    are one: rows that repeat have the same ids, and two texts under one id
+    would have to share length and CRC."""
+    keys = [id_column, "piece", "length", "ids_crc32"]
+    one = parts.dropDuplicates(keys).select(*(F.col(f"`{k}`").alias(f"__{n}") for n, k in enumerate(keys)), "ids")
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__{n}"))
+    found = placed.join(one, same)
+    whole = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return found.groupBy("sequence_id").agg(whole.alias("x")).select("sequence_id", F.flatten("x.ids").alias("ids"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,23 +183,28 @@ def inflated(content: bytes) -> Iterator[bytes]:
 _PARSED = "record_id string, row string, page_id string, record_type string, refers string, digest string, segment int, total bigint, block binary, payload_bytes bigint, payload_digest string, status string"
 
 
-def _finish(block: bytes, digest: str | None) -> tuple[int | None, str | None, str]:
-    """(payload bytes, digest, status) of a whole HTTP block."""
+def _finish(block: bytes, digest: str | None) -> tuple[int | None, str | None, str, bytes | None]:
+    """(payload bytes, digest, status, payload) of a whole HTTP block."""
     head, _, body = block.partition(b"\r\n\r\n")
     try:
         payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
     except BadRecord as error:
-        return None, None, f"bad: {error}"
+        return None, None, f"bad: {error}", None
     made = hashlib.sha256(payload).hexdigest()
-    return len(payload), made, "ok" if digest in (None, made) else "bad: payload digest"
+    return len(payload), made, "ok" if digest in (None, made) else "bad: payload digest", payload
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per page record: record_id, page_id (text), record_type, refers_record,
+def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """With `payload`, the last column is what the page holds, for revisits
+    that of the record they refer to (the html is its UTF-8 text).  Without it
+    payloads stay in the tasks that check them.  Per page record: record_id, page_id (text), record_type, refers_record,
     refers_to, payload_bytes, payload_digest, status (`ok`, or what is wrong)."""
 
+    with_payload, more = payload, ["payload"] * payload
+    field = [("payload", pa.binary())] * payload
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("row", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
+        schema = pa.schema([("record_id", pa.string()), ("row", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), *field])
         for batch in batches:
             for content in batch.column(0):
                 out, size = [], 0
@@ -214,14 +219,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         row["block"] = block
                         size += len(block)
                     elif kind == "response":
-                        row["payload_bytes"], row["payload_digest"], row["status"] = _finish(block, digest)
+                        row["payload_bytes"], row["payload_digest"], row["status"], body = _finish(block, digest)
+                        if with_payload:
+                            row["payload"] = body
+                            size += len(body or b"")
                     out.append(row)
                     if len(out) >= 2000 or size > 1 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    parsed = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _PARSED))
+    parsed = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _PARSED + ", payload binary" * with_payload))
 
     # only records in segments travel with their blocks; a group is one page
     parts = parsed.filter("segment IS NOT NULL").groupBy("record_id", "row").agg(
@@ -231,26 +239,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     joined = parts.select("record_id", "page_id", "digest", "total", F.col("parts.segment").alias("numbers"), F.col("parts.block").alias("blocks"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), *field])
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 block = b"".join(row["blocks"])
-                made: tuple = (None, None, "bad: segment numbers")
+                made: tuple = (None, None, "bad: segment numbers", None)
                 if row["numbers"] == list(range(1, len(row["blocks"]) + 1)):
-                    made = _finish(block, row["digest"]) if row["total"] == len(block) else (None, None, "bad: segment total length")
-                out.append({"record_id": row["record_id"], "page_id": row["page_id"], "payload_bytes": made[0], "payload_digest": made[1], "status": made[2]})
+                    made = _finish(block, row["digest"]) if row["total"] == len(block) else (None, None, "bad: segment total length", None)
+                out.append({"record_id": row["record_id"], "page_id": row["page_id"], "payload_bytes": made[0], "payload_digest": made[1], "status": made[2]} | {"payload": made[3] for _ in more})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    whole = joined.mapInArrow(join, "record_id string, page_id string, payload_bytes bigint, payload_digest string, status string")
-    columns = ["record_id", "page_id", "payload_bytes", "payload_digest", "status"]
+    whole = joined.mapInArrow(join, "record_id string, page_id string, payload_bytes bigint, payload_digest string, status string" + ", payload binary" * with_payload)
+    columns = ["record_id", "page_id", "payload_bytes", "payload_digest", "status", *more]
     responses = parsed.filter("segment IS NULL AND record_type = 'response'").select(columns).unionByName(whole)
     revisits = parsed.filter("record_type = 'revisit'").select("record_id", "page_id", "refers", "digest")
-    origin = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("status").alias("origin_status")).dropDuplicates(["refers"])
+    origin = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("status").alias("origin_status"), *more).dropDuplicates(["refers"])
     status = F.when(F.col("origin_status").isNull(), "bad: nothing to revisit").when(F.col("origin_status") != "ok", F.col("origin_status")).when(F.col("digest") != F.col("payload_digest"), "bad: payload digest").otherwise("ok")
     # many revisits of one record are one skewed key, which AQE splits
-    resolved = revisits.join(origin, "refers", "left").select("record_id", "page_id", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_record"), "refers_to", "payload_bytes", "payload_digest", status.alias("status"))
-    return responses.select("record_id", "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_record"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "status").unionByName(resolved)
+    resolved = revisits.join(origin, "refers", "left").select("record_id", "page_id", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_record"), "refers_to", "payload_bytes", "payload_digest", status.alias("status"), *more)
+    return responses.select("record_id", "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_record"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "status", *more).unionByName(resolved)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +266,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/tidemark-warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
-    found = read_archives(spark, path)
+    found = read_archives(spark, path, payload=False)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
