@@ -35,11 +35,18 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8):
-    that with the smallest id.  Rows with a null id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    gone = saved(found.filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies (five words, similarity 0.8): that
+    with the smallest id, null ids last; of rows that repeat it, one.  Rows
+    without words stay."""
+    # numbers are written with their rows, since they depend on the scan
+    rows = saved(worker.boxed(docs, "doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
+    found = saved(near_duplicates.near_duplicates(rows, "number").filter("n_shingles > 0").select("number", "component_id"))
+    # only groups of several rows have a row that isn't named by its own number
+    several = found.filter("number <> component_id").select("component_id").distinct()
+    members = saved(found.join(several, "component_id").join(rows.select("number", "doc_id"), "number"))
+    one = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))["number"].alias("first"))
+    gone = saved(members.join(one, "component_id").filter("number <> first").select("number"))
+    return rows.join(gone, "number", "left_anti").select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -452,6 +452,16 @@ def test_pipeline(spark):
     assert firsts == Counter(r["doc_id"] for r in mixed.collect())
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, "A b c d"), (None, "e f g h"), (None, "e f g h"), (4, "x y z"), (4, "other words here"), (5, ""), (5, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("number", F.lit("clash")).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, table, SF)
+    assert kept.columns == table.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(3, "a b c d"): 1, (None, "e f g h"): 1, (4, "x y z"): 1, (4, "other words here"): 1, (5, ""): 2, (None, None): 1})
+
+
 def test_slices_hold_whole_documents():
     import pyarrow as pa
 
