@@ -418,12 +418,107 @@ def test_sketches_merge_and_estimate():
     assert abs(j - 2400 / 3600) < 0.15
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_a_short_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_duplicates.components(links).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    """Rounds don't grow with the length of a path."""
+    ids = list(range(5000))
+    random.Random(2).shuffle(ids)
+    links = list(zip(ids, ids[1:])) + [(7000, 7000 + k) for k in range(1, 300)]
+    got = {r["node"]: r["component"] for r in near_duplicates.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in ids} | {k: 7000 for k in range(7000, 7300)}
+
+
+def test_near_duplicates_of_a_chain(spark):
+    """Every text is near to the next alone; the ids are in random order."""
+    words = [f"w{k}" for k in range(5 * 120 + 102)]
+    ids = list(range(120))
+    random.Random(1).shuffle(ids)
+    df = spark.createDataFrame([(i, " ".join(words[5 * k : 5 * k + 102])) for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {r["component_id"] for r in near_duplicates.near_duplicates(df, width=3, percent=85).collect()} == {0}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bands_lose_next_to_nothing(percent):
+    registers, band = near_duplicates.bands(percent)
+    j = percent / 100
+    up = -np.log1p(-(1 - j) / 2 * (near_duplicates.BASE - 1) / near_duplicates.BASE) / np.log(near_duplicates.BASE)
+    assert registers % band == 0 and (1 - (1 - 2 * up) ** band) ** (registers // band) < near_duplicates.MISS
+
+
+# equal hashes are not equal texts
+
+
+def thue_morse(n):
+    a, b = b"a", b"b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
+def sliced(texts):
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]).astype(np.int64)
+
+
+COLLIDING = [w for n in (64, 1024, 2048) for w in thue_morse(n)]
+
+
+@pytest.fixture(params=["full", "two bits"])
+def hashes(request, monkeypatch):
+    """The hash as it is, and one under which nearly everything collides."""
+    if request.param == "two bits":
+        real = textkit.Hasher.of
+        monkeypatch.setattr(textkit.Hasher, "of", lambda self, starts, ends, seed=0: real(self, starts, ends, seed) & np.uint64(3))
+    return request.param
+
+
+def test_measures_compare_texts(hashes):
+    texts = ["\n".join(COLLIDING), " ".join(COLLIDING * 2), " ".join(f"{w} x y" for w in COLLIDING), *prose(6, 5, 20, (5, 40)), "\n".join(prose(9, 6, 3, (1, 3)))]
+    got = np.stack(quality_rules.measure(*sliced(texts))[:6], axis=1)
+    assert [tuple(map(int, row)) for row in got] == [brute.measures(t) for t in texts]
+
+
+def test_token_counts_compare_texts(hashes):
+    from tokenizers import Tokenizer
+
+    path = token_counts.default_path()
+    library = Tokenizer.from_file(path)
+    merger = token_counts.Merger(open(path, encoding="utf-8").read())
+    texts = COLLIDING + prose(8, 7) + ["a <|endoftext|> b"]
+    for _ in range(2):  # the second time from the cache
+        assert merger.count_slice(*sliced(texts)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_ids_compare_texts(hashes):
+    path = packing.default_path()
+    encoder = packing.Encoder(open(path, encoding="utf-8").read())
+    texts = COLLIDING + prose(8, 7)
+    for _ in range(2):
+        ids, ends = encoder.encode(*sliced(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shared_shingles_compare_texts(hashes):
+    texts = [*COLLIDING, " ".join(COLLIDING), " ".join(COLLIDING[::-1]), *prose(5, 8, 12, (4, 60))]
+    sets = near_duplicates.Sets([{"text": t} for t in texts], 3)
+    plain = [brute.shingles(t, 3) for t in texts]
+    assert sets.sizes.tolist() == [len(s) for s in plain]
+    for i, a in enumerate(plain):
+        for j, b in enumerate(plain):
+            assert sets.shared(i, sets, j) == len(a & b)
+
+
+def test_colliding_words_are_not_near_copies(spark):
+    rows = [(k, w) for k, w in enumerate(COLLIDING)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
 # the pipeline
 
 

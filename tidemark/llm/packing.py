@@ -43,38 +43,36 @@ def default_path() -> str:
 
 class Encoder:
     """Ids of a lower-casing, white-space-dropping tokenizer.  Words are looked
-    up by hash; the library encodes those that a worker hasn't met."""
+    up by hash and then byte by byte; the library encodes those that a worker
+    hasn't met."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.units = worker.HashTable(CACHE_UNITS)
+        self.units = worker.Units(CACHE_UNITS)
         self.forget()
 
     def forget(self) -> None:
         self.units.clear()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.begin = np.zeros(1 << 10, np.int64)
+        self.size = np.zeros(1 << 10, np.int64)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+    def learn(self, at: np.ndarray, texts: list[str]) -> None:
+        """Keep the ids of the units numbered at."""
         ids, sizes = [], np.zeros(len(texts), np.int64)
         for k in range(0, len(texts), 20_000):
             made = self.library.encode(texts[k : k + 20_000], is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(made.ids, np.uint32))
             sizes[k : k + 20_000] = np.bincount(np.array(made.word_ids, np.int64), minlength=len(texts[k : k + 20_000]))
         ids = np.concatenate(ids)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat = worker.room(self.flat, self.used, len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
-        at = np.arange(len(self.begin), len(self.begin) + len(texts))
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        self.begin, self.size = worker.room(self.begin, int(at[0]), len(at)), worker.room(self.size, int(at[0]), len(at))
+        self.begin[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
-        self.units.add(keys, at)
-        return at
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice end to end, and their offsets."""
@@ -88,16 +86,18 @@ class Encoder:
         lo[place], hi[place] = starts, cut
         lo[place[closing] + 1], hi[place[closing] + 1] = cut[closing], ends[closing]
         first = np.concatenate([place, [len(lo)]])[first]
-        keys = textkit.Hasher(data).of(lo, hi)
-        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = self.units.find(distinct)
+        hasher = textkit.Hasher(data)
+        keys, one, which = hasher.classes(lo, hi)
+        lo, hi = lo[one], hi[one]
+        at = self.units.find(hasher, keys, lo, hi)
         new = np.flatnonzero(at < 0)
         if len(new):
-            if len(self.units.keys) + len(new) > self.units.limit:
+            if self.units.full(lo[new], hi[new]):
                 self.forget()
-                at, new = np.full(len(distinct), -1, np.int64), np.arange(len(distinct))
+                new = np.arange(len(keys))
             text = data.tobytes()
-            at[new] = self.learn(distinct[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(lo[one[new]].tolist(), hi[one[new]].tolist())])
+            at[new] = self.units.add(hasher, keys[new], lo[new], hi[new])
+            self.learn(at[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(lo[new].tolist(), hi[new].tolist())])
         begin, size = self.begin[at][which], self.size[at][which]
         ends_of = np.cumsum(size)
         ids = self.flat[np.arange(int(ends_of[-1]) if len(ends_of) else 0) + np.repeat(begin - (ends_of - size), size)]

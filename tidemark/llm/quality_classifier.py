@@ -45,6 +45,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     documents = len(offsets) - 1
     document = np.repeat(np.arange(documents), np.diff(first))
     hashes = textkit.Hasher(data).of(starts, ends)
+    # hashes alone: a statistic that feeds a fit, not an equality that is reported
     _, one = np.unique(textkit.in_document(hashes, document), return_index=True)
     distinct = np.bincount(document[one], minlength=documents)
     size = ends - starts

@@ -41,6 +41,18 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _U = np.uint64
 
 
+def repeated(words: list[bytes]) -> np.ndarray:
+    """Which words are in a three-word window that comes twice or more."""
+    places: dict[tuple, list[int]] = {}
+    for k, run in enumerate(zip(words, words[1:], words[2:])):
+        places.setdefault(run, []).append(k)
+    out = np.zeros(len(words), bool)
+    for found in places.values():
+        for k in found if len(found) > 1 else ():
+            out[k : k + 3] = True
+    return out
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """MEASURES of every document of a slice."""
     documents = len(offsets) - 1
@@ -65,9 +77,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_to[some] = np.minimum(line_to[some], breaks[k[some]])
     worded = np.searchsorted(starts, line_to) > np.searchsorted(starts, line_from)
     line_from, line_to, owner = line_from[worded], line_to[worded], owner[worded]
-    keys = textkit.in_document(hasher.of(line_from, line_to), owner)
-    _, one = np.unique(keys, return_index=True)
     n_lines = np.bincount(owner, minlength=documents)
+    _, alike, line = hasher.classes(line_from, line_to)
+    one = np.unique(owner * max(len(alike), 1) + line, return_index=True)[1]
     n_dup_lines = n_lines - np.bincount(owner[one], minlength=documents)
 
     # words inside a three-word window that its document holds twice or more
@@ -75,14 +87,22 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     if len(starts) >= 3:
         whole = np.flatnonzero(document[2:] == document[:-2])
         keys = textkit.in_document(textkit.windows(hasher.of(starts, ends), 3)[whole], document[whole])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
+        at = whole[order]
         same = keys[order][1:] == keys[order][:-1]
+        pairs = np.flatnonzero(same)
+        equal = document[at[pairs]] == document[at[pairs + 1]]
+        for k in range(3):
+            equal &= hasher.same(starts[at[pairs] + k], ends[at[pairs] + k], hasher, starts[at[pairs + 1] + k], ends[at[pairs + 1] + k])
         twice = np.zeros(len(order), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        at = whole[order[twice]]
         for k in range(3):
-            covered[at + k] = True
+            covered[at[twice] + k] = True
+        # unequal windows of one hash: count their documents by the words
+        for d in np.unique(document[np.concatenate([at[pairs[~equal]], at[pairs[~equal] + 1]])]).tolist():
+            a, b = int(first[d]), int(first[d + 1])
+            covered[a:b] = repeated([data[i:j].tobytes() for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist())])
 
     upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
     return [np.diff(first), word_chars, textkit.per_row(_SYMBOL[data], offsets), n_dup_lines, textkit.per_row(covered, first), n_lines, textkit.per_row(upper, offsets), textkit.per_row(lower, offsets)]

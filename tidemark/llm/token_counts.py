@@ -8,8 +8,8 @@ number of merges, so no token identifier is ever made.
 
 The same words recur throughout a corpus.  Texts are therefore cut into units
 (a word with the one space before it, its closing punctuation, and the pieces
-of white space that the pre-tokenizer keeps apart), units are hashed in bulk,
-and only units that a worker hasn't met are merged.  Texts in which that cut
+of white space that the pre-tokenizer keeps apart), units are looked up in bulk,
+by hash and then byte by byte, and only those that a worker hasn't met are merged.  Texts in which that cut
 might differ from the pre-tokenizer's (a special string, Unicode white space)
 are pre-tokenized whole instead.  Both ways give the library's counts.
 """
@@ -63,8 +63,8 @@ class Merger:
         self.split_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
-        self.units = worker.HashTable(CACHE_UNITS)
-        self.counts = np.zeros(0, np.int64)
+        self.units = worker.Units(CACHE_UNITS)
+        self.counts = np.zeros(1 << 10, np.int64)
 
     def merge(self, word: bytes) -> int:
         """Tokens of one pre-token."""
@@ -130,21 +130,20 @@ class Merger:
         """Tokens of every document of a slice."""
         documents = len(offsets) - 1
         document, lo, hi = units(data, offsets)
-        keys = textkit.Hasher(data).of(lo, hi)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = self.units.find(distinct)
+        hasher = textkit.Hasher(data)
+        keys, one, which = hasher.classes(lo, hi)
+        lo, hi = lo[one], hi[one]
+        at = self.units.find(hasher, keys, lo, hi)
         new = np.flatnonzero(at < 0)
         if len(new):
-            if len(self.units.keys) + len(new) > self.units.limit:
+            if self.units.full(lo[new], hi[new]):
                 self.units.clear()
-                self.counts = np.zeros(0, np.int64)
-                at = np.full(len(distinct), -1, np.int64)
-                new = np.arange(len(distinct))
+                new = np.arange(len(keys))
             raw = data.tobytes()
-            found = [self.count(raw[a:b].decode("utf-8", "replace")) for a, b in zip(lo[first[new]].tolist(), hi[first[new]].tolist())]
-            at[new] = np.arange(len(self.counts), len(self.counts) + len(new))
-            self.counts = np.concatenate([self.counts, np.array(found, np.int64)])
-            self.units.add(distinct[new], at[new])
+            found = [self.count(raw[a:b].decode("utf-8", "replace")) for a, b in zip(lo[new].tolist(), hi[new].tolist())]
+            at[new] = self.units.add(hasher, keys[new], lo[new], hi[new])
+            self.counts = worker.room(self.counts, int(at[new[0]]), len(new))
+            self.counts[at[new]] = found
         sums = np.zeros(len(which) + 1, np.int64)
         np.cumsum(self.counts[at][which], out=sums[1:])
         ends = np.searchsorted(document, np.arange(documents + 1))

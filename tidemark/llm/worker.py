@@ -69,27 +69,70 @@ def boxed(df: DataFrame, *columns) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), *columns)
 
 
-class HashTable:
-    """Sorted 64-bit keys with a position each: a compact map that numpy can
-    look up in bulk.  It forgets everything when it exceeds `limit` keys, so
-    the memory of a worker stays bounded; values are then worked out again."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
+def room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """array with place for `more` entries after the first `used`; it doubles,
+    so appending costs by what is appended."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros(max(2 * len(array), used + more), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+class Units:
+    """Byte strings that a worker has met, numbered in the order they came.
+
+    Strings are found in bulk by hash and then compared byte by byte, so a hash
+    never stands for a string.  Hashes are kept in sorted runs that are merged
+    as they grow.  More than `limit` strings or `most` bytes are too many for
+    `full`; the owner then clears everything and works values out again, so a
+    worker's memory stays bounded."""
+
+    def __init__(self, limit: int, most: int = 64 << 20):
+        self.limit, self.most = limit, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of keys, -1 where unknown."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.at[i], -1)
-
-    def add(self, keys: np.ndarray, at: np.ndarray) -> None:
-        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, at])
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = self.used = 0
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.starts = np.zeros(1 << 10, np.int64)
+        self.ends = np.zeros(1 << 10, np.int64)
+
+    def full(self, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether that many more strings are too many."""
+        return self.count + len(starts) > self.limit or self.used + int((ends - starts).sum()) > self.most
+
+    def find(self, hasher: textkit.Hasher, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the byte ranges with these hashes, -1 where unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        for run, at in self.runs:
+            i = np.minimum(np.searchsorted(run, keys), len(run) - 1)
+            hit = (out < 0) & (run[i] == keys)
+            out[hit] = at[i[hit]]
+        hit = np.flatnonzero(out >= 0)
+        mine = textkit.Hasher.over(self.bytes)
+        wrong = ~hasher.same(starts[hit], ends[hit], mine, self.starts[out[hit]], self.ends[out[hit]])
+        out[hit[wrong]] = -1
+        return out
+
+    def add(self, hasher: textkit.Hasher, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new byte ranges.  Of two strings with one hash the first
+        is found again, the other is new each time."""
+        size = ends - starts
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        self.bytes = room(self.bytes, self.used, total + 8)
+        self.bytes[self.used : self.used + total] = hasher.data[np.arange(total) + np.repeat(starts - (to - size), size)]
+        self.starts, self.ends = room(self.starts, self.count, len(keys)), room(self.ends, self.count, len(keys))
+        out = np.arange(self.count, self.count + len(keys))
+        self.starts[out], self.ends[out] = self.used + to - size, self.used + to
+        self.count, self.used = self.count + len(keys), self.used + total
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
+        self.runs.append((keys[order], out[order]))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            (a, b), (c, d) = self.runs.pop(-2), self.runs.pop()
+            run, at = np.concatenate([a, c]), np.concatenate([b, d])
+            order = np.argsort(run, kind="stable")
+            self.runs.append((run[order], at[order]))
+        return out
