@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules, worker
 from tidemark.llm.saved import saved
+from tidemark.llm.spread import heavy, spread_join
 
 #: Documents that score less are rejected.
 LOWEST_SCORE = 0.5
@@ -42,10 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = saved(worker.boxed(docs, "doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
     found = saved(near_duplicates.near_duplicates(rows, "number").filter("n_shingles > 0").select("number", "component_id"))
     # only groups of several rows have a row that isn't named by its own number
-    several = found.filter("number <> component_id").select("component_id").distinct()
-    members = saved(found.join(several, "component_id").join(rows.select("number", "doc_id"), "number"))
+    sizes = saved(found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1"))
+    large = heavy(sizes, "component_id", "n")
+    members = saved(spread_join(found, sizes, "component_id", F.col("number"), large).join(rows.select("number", "doc_id"), "number"))
     one = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))["number"].alias("first"))
-    gone = saved(members.join(one, "component_id").filter("number <> first").select("number"))
+    gone = saved(spread_join(members, one, "component_id", F.col("number"), large).filter("number <> first").select("number"))
     return rows.join(gone, "number", "left_anti").select("__row.*")
 
 
