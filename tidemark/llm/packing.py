@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship, textkit, worker
+from .saved import saved
 
 ship(__name__)
 
@@ -32,6 +33,8 @@ GROUP_ROWS = 8192
 #: Units that a worker remembers.
 CACHE_UNITS = 500_000
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+#: The row of a piece's document within its scan task, so that equal pieces differ.
+ORDINAL = ", ordinal bigint"
 IDS = ", ids array<int>"
 
 
@@ -112,8 +115,9 @@ class Encoder:
 
 
 def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, size: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, ids: bool = True) -> DataFrame:
-    """Per piece of a document: id_column, piece, start, length, ids_crc32 and
-    ids, its token ids.  Without `ids` they aren't sent from the workers."""
+    """Per piece of a document: id_column, piece, start, length, ids_crc32,
+    ordinal (the number of its document within the scan task) and ids, its
+    token ids.  Without `ids` they aren't sent from the workers."""
     with_ids = ids
     with open(path or default_path(), encoding="utf-8") as file:
         spec = file.read()
@@ -122,7 +126,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker.state(key, lambda: Encoder(shared.value))
+        encoder, before = worker.state(key, lambda: Encoder(shared.value)), 0
         for batch in batches:
             for rows, data, offsets in textkit.slices(batch, "__text"):
                 ids, ends = encoder.encode(data, offsets)
@@ -136,14 +140,20 @@ def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                         if with_ids:
                             parts.append(part.astype(np.int32))
                 extra = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *extra], names=[id_column, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.array(row, np.int64) + before), *extra], names=[id_column, "piece", "start", "length", "ids_crc32", "ordinal", *["ids"] * with_ids])
+                before += rows.num_rows
 
     worker.small_batches(df.sparkSession)
-    return df.select(id_column, F.col(text_column).alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, {PIECES}{IDS * with_ids}")
+    return df.select(id_column, F.col(text_column).alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, {PIECES}{ORDINAL}{IDS * with_ids}")
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length, taken in the given order."""
+def sum_of_squares(lengths: np.ndarray, size: int, weigh_opening: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length, taken in the given order.
+
+    Every choice is weighed by what it does to the sum of squared counts: an
+    open bin passes from one gap to another, or is full and no longer open; a
+    new bin adds one to a gap.  Without weigh_opening a new bin is the last
+    resort.  Among equals the smallest gap is taken, a new bin last."""
     count = np.zeros(size + 1, np.int64)  # open bins by gap
     bins: list[list[int]] = [[] for _ in range(size + 1)]
     opened = 0
@@ -153,13 +163,12 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
             where[k], opened = opened, opened + 1
             continue
         have = count[s:]
-        # the change of the sum of squares: a bin leaves gap g for gap g - s;
-        # a bin that becomes full is no longer open
         change = 2 * (count[: size + 1 - s] - have) + 2
         change[0] = 1 - 2 * have[0]
         change[have == 0] = 1 << 40
-        g = int(change.argmin())  # among equals the smallest gap
-        if change[g] < 1 << 40:
+        g = int(change.argmin())
+        new = 2 * int(count[size - s]) + 1 if weigh_opening else (1 << 40) - 1
+        if change[g] <= new:
             gap = g + s
             b = bins[gap].pop()
             count[gap] -= 1
@@ -173,17 +182,19 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(parts: DataFrame, rows: int, id_column: str = "doc_id", size: int = SEQUENCE_TOKENS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to the pieces; `rows` is about how many there are."""
+    """Adds sequence_id and offset to the pieces; `rows` is how many there are.
+    Pieces that are equal in everything are told apart by their ordinals, so
+    they are dealt to all groups like others."""
     groups = max(1, round(rows / group_rows))
     kind = parts.schema[id_column].dataType.simpleString()
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", id_column, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", id_column, "piece", "ids_crc32", "ordinal"], ascending=[False, True, True, True, True], kind="stable")
         where, group["offset"] = sum_of_squares(group["length"].to_numpy(), size)
         group["sequence_id"] = (np.int64(key[0]) << 32) + where
         return group[[id_column, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(F.lit(2), id_column, "piece"), F.lit(groups)))
+    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(F.lit(2), id_column, "piece", "ids_crc32", "ordinal"), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(place, f"`{id_column}` {kind}, {PIECES}, sequence_id bigint, offset bigint")
 
 
@@ -191,10 +202,13 @@ def pack_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """Per piece: id_column, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the single end id.  Rows that repeat are packed
-    each.  An empty table gives no rows.  Other columns of df are ignored.
-    Reruns give the same places for the same rows.
+    each, and ties in length are taken by id, piece and digest.  An empty table
+    gives no rows.  Other columns of df are ignored, whatever their names.
+    Reruns over the same files give the same places.
     """
-    return pack(pieces(df, id_column, text_column, path, size, ids=False), df.count(), id_column, size)
+    # written: the groups are sized by the pieces, and no text is encoded twice
+    parts = saved(pieces(df, id_column, text_column, path, size, ids=False))
+    return pack(parts, parts.count(), id_column, size)
 
 
 def sequences(placed: DataFrame, parts: DataFrame, id_column: str = "doc_id") -> DataFrame:
