@@ -97,19 +97,32 @@ def ranks(df: DataFrame, key: str, rows: int, tie: list[str]) -> DataFrame:
     return dealt.join(starts, [key, "__bucket"]).withColumn("rank", F.col("__start") + F.row_number().over(within) - 1).drop("__bucket", "__start")
 
 
+def cut_edges(placed: DataFrame, key: str) -> DataFrame:
+    """One row: groups of two or more, edges and cut.  A group of n is linked as
+    a star of n - 1 edges, of which those to other shards than its fullest are
+    cut; rows with a null key have no links."""
+    held = placed.filter(F.col(key).isNotNull()).groupBy(key, "shard").agg(F.count("*").alias("n"))
+    groups = held.groupBy(key).agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def shard_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: id_column, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes (null: none) and 16; the law is `rows`.
     Equal texts are linked; null texts have no links.  A group that no shard
     can hold is spread over as many as it needs.  Rows that repeat are rows of
-    their own.  Slots are gapless from 0 within each shard.  Empty in, empty
-    out; with fewer rows than shards some shards stay empty.
+    their own, and of ties any takes the lower slot.  Slots are gapless from 0
+    within each shard.  Empty in, empty out; with fewer rows than shards some
+    shards stay empty.  Other columns of df are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    first = F.pmod(F.xxhash64(F.lit(1), id_column), F.lit(shards * CELLS)).cast("int")
+    # rows that repeat are told apart by their numbers, which are written here
+    number = F.monotonically_increasing_id()
+    first = F.pmod(F.xxhash64(F.lit(1), id_column, number), F.lit(shards * CELLS)).cast("int")
     rows = df.select(
         id_column,
+        number.alias("number"),
         (F.octet_length(text) + F.lit(16)).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(F.col(text_column).cast("binary")).alias("grp"),
@@ -124,7 +137,7 @@ def shard_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     settled = propagate(linked, quotas, rounds)
     # -1: no links, so any shard will do
     placed = rows.join(settled.select("grp", "first", F.col("shard").alias("want")), ["grp", "first"], "left").withColumn("want", F.coalesce("want", F.lit(-1)))
-    placed = ranks(placed, "want", total, [id_column, "text_crc32"])
+    placed = ranks(placed, "want", total, [id_column, "text_crc32", "number"])
     load = _loads(settled, shards)
     # the chance start may overfill shards where nearly all rows are linked; what is over fills gaps as well
     over = [max(0, n - q) for n, q in zip(load, quotas)]
