@@ -8,7 +8,9 @@ that order have like sizes, so the words taken stay near the target.
 
 The prefix sum needs each document's rank within its source.  Ranks come from
 counts per (source, size) and per (source, size, bucket), which are summed
-before they travel, so a source of any size is spread over many tasks.
+before they travel, so a source of any size is spread over many tasks.  Buckets
+are digests of ids; the rows of an id that has a large share of all rows, or of
+none, are dealt by their numbers as well.
 """
 
 from __future__ import annotations
@@ -16,10 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import worker
+from .saved import saved
+from .spread import heavy
+
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Buckets of the documents of one source and size.
-BUCKETS = 1024
+#: Buckets of the documents of one source and size, and of the rows of one id.
+BUCKETS = 65536
+PARTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,47 +56,60 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def with_copies(df: DataFrame, id_column: str = "doc_id", source_column: str = "source", size_column: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """df with source_size, target and copies (how often the mix emits the row).
+    """The row of df as `__row`, with size, source_size, target and copies (how
+    often the mix emits the row), so that no column of df can clash.
 
     df has the integer columns id_column and size_column, both may repeat and
     the id may be null; a null size counts as 0.  A source without words has
-    target 0 and no copies.  The offset of a source is 16 bits of the MD5 of
-    its name, so reruns agree.
+    target 0 and no copies.  Empty in, empty out.  The offset of a source is 16
+    bits of the MD5 of its name and ties in size go by digest of the id, so
+    reruns agree; rows that tie in source, size and id are ranked by their
+    place in the files.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit(""))
-    rows = df.withColumn("__key", key).withColumn("__size", F.coalesce(F.col(size_column).cast("bigint"), F.lit(0).cast("bigint"))).withColumn("__bucket", F.coalesce(F.pmod(F.col(id_column), F.lit(BUCKETS)), F.lit(0)))
-    cells = rows.groupBy("__key", "__size", "__bucket").agg(F.count("*").alias("n"))
-    sizes = cells.groupBy("__key", "__size").agg(F.sum("n").alias("n"))
-    sources = sizes.groupBy("__key").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
-    sources = sources.select(F.when(F.col("__key") != "", F.substring("__key", 2, 1 << 30)).alias("source"), "source_size")
-    shares = targets(sources, weights, most).withColumn("__key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    by_size = Window.partitionBy("__key").orderBy("__size").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.select("__key", "__size", (F.sum("n").over(by_size) - F.col("n")).alias("__before_size"))
-    by_bucket = Window.partitionBy("__key", "__size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("__before_bucket", F.sum("n").over(by_bucket) - F.col("n")).drop("n")
-    cells = cells.join(sizes, ["__key", "__size"]).join(shares, "__key")
-    within = Window.partitionBy("__key", "__size", "__bucket").orderBy(id_column)
-    rank = F.col("__before_size") + F.col("__before_bucket") + F.row_number().over(within) - 1
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_column}`").cast("string")), F.lit(""))
+    size = F.coalesce(F.col(f"`{size_column}`").cast("bigint"), F.lit(0).cast("bigint"))
+    rows = worker.boxed(df, F.col(f"`{id_column}`").cast("bigint").alias("id"), key.alias("key"), size.alias("size"))
+    # written once: texts are read and counted once, and numbers must not change
+    rows = saved(rows.withColumn("number", F.monotonically_increasing_id()))
+    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("int"), F.lit(BUCKETS))
+    ids = saved(rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"))
+    narrow = rows.drop("__row").join(heavy(ids, "id", "n"), F.col("id") == F.col("__heavy"), "left")
+    part = F.when(F.col("id").isNull() | F.col("__heavy").isNotNull(), F.pmod(F.xxhash64("number"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+    narrow = narrow.withColumn("bucket", bucket).withColumn("part", part).drop("__heavy", "__parts")
+    cells = narrow.groupBy("key", "size", "bucket", "part").agg(F.count("*").alias("n"))
+    sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    sources = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = sources.select(F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source"), "source_size")
+    shares = targets(sources, weights, most).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    by_size = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("key", "size", (F.sum("n").over(by_size) - F.col("n")).alias("before_size"))
+    by_bucket = Window.partitionBy("key", "size").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("before_bucket", F.sum("n").over(by_bucket) - F.col("n")).drop("n")
+    cells = cells.join(sizes, ["key", "size"]).join(shares, "key")
+    within = Window.partitionBy("key", "size", "bucket", "part").orderBy("id", "number")
+    rank = F.col("before_size") + F.col("before_bucket") + F.row_number().over(within) - 1
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.expr("substring(__key, 2)")), 1, 4), 16, 10).cast("double") / 65536
-    ranked = rows.join(cells, ["__key", "__size", "__bucket"]).withColumn("__rank", rank).withColumn("__f", expected).withColumn("__u", offset)
-    copies = F.floor(F.col("__f") * (F.col("__rank") + 1) + F.col("__u")) - F.floor(F.col("__f") * F.col("__rank") + F.col("__u"))
-    return ranked.withColumn("copies", copies).drop("__key", "__size", "__bucket", "__before_size", "__before_bucket", "__rank", "__f", "__u")
+    offset = F.conv(F.substring(F.md5(F.expr("substring(key, 2)")), 1, 4), 16, 10).cast("double") / 65536
+    ranked = narrow.join(cells, ["key", "size", "bucket", "part"]).withColumn("rank", rank).withColumn("f", expected).withColumn("u", offset)
+    copies = F.floor(F.col("f") * (F.col("rank") + 1) + F.col("u")) - F.floor(F.col("f") * F.col("rank") + F.col("u"))
+    # only numbers and sizes were ranked; the rows are sent once
+    ranked = ranked.select("number", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("__row", "number").join(ranked.hint("merge"), "number").drop("number")
 
 
 def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def emit(df: DataFrame) -> DataFrame:
-    """One row for each copy, without the columns of the plan."""
-    return df.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy", "copies", "source_size", "target")
+def emit(mixed: DataFrame) -> DataFrame:
+    """The rows of df, one for each copy, from the rows of with_copies."""
+    return mixed.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count().alias("size"))
     mixed = with_copies(documents)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies")
+    return mixed.select("__row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies")
 
 
 OP6_SQL = r"""
@@ -115,7 +135,7 @@ t AS (
 k AS (
   SELECT d.doc_id, d.size, t.z AS source_size, t.target, t.u,
          CASE WHEN t.z > 0 THEN t.target / t.z ELSE 0.0 END AS f,
-         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, ((d.doc_id % 1024) + 1024) % 1024, d.doc_id) - 1 AS DOUBLE) AS i
+         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 4), d.doc_id) - 1 AS DOUBLE) AS i
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(floor(f * (i + 1) + u) - floor(f * i + u) AS BIGINT) * size AS taken,
