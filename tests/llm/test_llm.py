@@ -111,6 +111,28 @@ def test_sequences_hold_the_ids(spark):
         assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["start"] : r["start"] + r["length"]]
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    df = spark.createDataFrame([(None, "some words")] * 3000, "doc_id long, text string").repartition(3)
+    parts = packing.pieces(df, ids=False).cache()
+    groups = Counter(r["sequence_id"] >> 32 for r in packing.pack(parts, 3000, group_rows=300).collect())
+    assert len(groups) == 10 and max(groups.values()) < 500
+
+
+def test_sum_of_squares_against_trying_every_bin():
+    rng = np.random.default_rng(3)
+    for size in (7, 20, 100):
+        lengths = rng.integers(1, size + 1, 300)
+        got, offset = packing.sum_of_squares(lengths, size)
+        gaps: dict[int, int] = {}
+        squares = lambda g: sum(n * n for n in Counter(x for x in g.values() if x).values())
+        for k, s in enumerate(lengths.tolist()):
+            tried = [squares({**gaps, b: gap - s}) for b, gap in gaps.items() if gap >= s] + [squares({**gaps, len(gaps): size - s})]
+            b = int(got[k])
+            assert offset[k] == size - gaps.get(b, size)
+            gaps[b] = gaps.get(b, size) - s
+            assert gaps[b] >= 0 and (s == size or squares(gaps) == min(tried))
+
+
 def test_sum_of_squares_rule():
     where, offset = packing.sum_of_squares(np.array([6, 6, 4, 4, 3]), 10)
     assert where[0] != where[1] and sorted(where[2:4]) == sorted(where[:2]) and where[4] not in where[:4]
@@ -156,6 +178,19 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(s) > 1 for s in groups.values()) == 0
 
 
+def test_sharding_of_equal_rows_and_cut_edges(spark):
+    rows = [(None, "the same")] * 900 + [(k, f"group {k // 6}") for k in range(600)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8)
+    placed = out.collect()
+    sizes = Counter(r["shard"] for r in placed)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in placed) == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
+    # a group of 900 needs 5 of the shards of 188: 712 of its edges are cut by any
+    # sharding, and of the 500 others chance would cut about 400
+    cut = sharding.cut_edges(out, "text_crc32").first()
+    assert cut["groups"] == 101 and cut["edges"] == 899 + 500 and 712 <= cut["cut"] <= 712 + 200
+
+
 def test_sharding_of_one_large_group(spark):
     texts = ["same"] * 250 + [f"t{k}" for k in range(500)]
     groups = check_shards(sharding.shard_documents(docs(spark, texts)).collect(), texts)
@@ -256,8 +291,8 @@ def test_mixing(spark):
     assert len(got) == len(rows) and all(0 <= r["copies"] <= 3 for r in got)
     taken, target = Counter(), {}
     for r in got:
-        taken[r["source"]] += r["copies"] * (r["size"] or 0)
-        target[r["source"]] = r["target"]
+        taken[r["__row"]["source"]] += r["copies"] * (r["__row"]["size"] or 0)
+        target[r["__row"]["source"]] = r["target"]
     for s in target:
         assert abs(taken[s] - target[s]) <= 3 * 90
     again = mixing.with_copies(df.repartition(7)).collect()
@@ -265,6 +300,16 @@ def test_mixing(spark):
     assert mixing.emit(mixing.with_copies(df)).count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_of_clashing_names_and_one_id(spark):
+    rows = [(None if k % 2 else 4, "s", 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for name in ("target", "source_size", "copies", "key", "id", "bucket", "part", "number", "rank"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = mixing.with_copies(df, weights=(1,)).collect()
+    assert len(got) == 400 and sum(r["copies"] for r in got) == 400
+    assert mixing.emit(mixing.with_copies(df, weights=(1,))).columns == df.columns
+
+
 # 7 WARC
 
 

@@ -49,7 +49,9 @@ REGISTERS, BASE, RATE = 192, 1.1, 20.0
 MISS = 2e-7
 #: Deviations below the threshold at which an estimate still gets verified.
 MARGIN = 5.0
-#: Members compared at once in step 4, and members of one comparing task.
+#: Members of a part of a star, each of which gets the leader's text.
+PART = 512
+#: Step 4: members of a block, and of a chunk that it is compared with.
 BLOCK, CHUNK = 256, 2048
 _U = np.uint64
 
@@ -207,7 +209,7 @@ def compare_with_leaders(pairs: DataFrame, texts: DataFrame, percent: int, width
     estimate rules a link out.  A leader's members are dealt into parts; its own
     text goes to each."""
     counts = saved(pairs.groupBy("leader").agg(F.count("*").alias("k")))
-    parts = counts.select("leader", F.ceil(F.col("k") / CHUNK).cast("int").alias("parts"))
+    parts = counts.select("leader", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
     dealt = spread_join(pairs, parts, "leader", F.col("rep"), heavy(counts, "leader", "k")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     theirs = dealt.select("leader", "part", "rep").join(texts.hint("merge"), "rep").select("leader", "part", F.lit(1).alias("kind"), "rep", "registers", "text")
     own = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("leader").alias("rep")).join(texts.hint("merge"), "rep").select("leader", "part", "kind", "rep", "registers", "text")
