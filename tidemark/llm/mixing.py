@@ -25,7 +25,7 @@ from .spread import heavy
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Buckets of the documents of one source and size, and of the rows of one id.
-BUCKETS = 65536
+BUCKETS = 4096
 PARTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,7 +71,7 @@ def with_copies(df: DataFrame, id_column: str = "doc_id", source_column: str = "
     rows = worker.boxed(df, F.col(f"`{id_column}`").cast("bigint").alias("id"), key.alias("key"), size.alias("size"))
     # written once: texts are read and counted once, and numbers must not change
     rows = saved(rows.withColumn("number", F.monotonically_increasing_id()))
-    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("int"), F.lit(BUCKETS))
+    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 3), 16, 10).cast("int"), F.lit(BUCKETS))
     ids = saved(rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"))
     narrow = rows.drop("__row").join(heavy(ids, "id", "n"), F.col("id") == F.col("__heavy"), "left")
     part = F.when(F.col("id").isNull() | F.col("__heavy").isNotNull(), F.pmod(F.xxhash64("number"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
@@ -135,7 +135,7 @@ t AS (
 k AS (
   SELECT d.doc_id, d.size, t.z AS source_size, t.target, t.u,
          CASE WHEN t.z > 0 THEN t.target / t.z ELSE 0.0 END AS f,
-         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 4), d.doc_id) - 1 AS DOUBLE) AS i
+         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 3), d.doc_id) - 1 AS DOUBLE) AS i
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(floor(f * (i + 1) + u) - floor(f * i + u) AS BIGINT) * size AS taken,
