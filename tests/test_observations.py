@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import canonical_label, correlation_p, erfc, parse_timestamp, valid
 from tidemark.functions.ranks import average_ranks, neighbours, positions
-from tidemark.operators import api, layers, models, plausibility, quality, scenarios, stats
+from tidemark.operators import api, layers, models, plausibility, quality, resample, scenarios, stats
 from tidemark.schema import FOLDS, METRICS, SOURCE_COLUMNS, SOURCE_SCHEMA
 from tidemark.sources import observations as sources
 
@@ -265,7 +265,7 @@ def test_ridge_forecast_against_numpy(spark):
 def test_lagged_forecast_of_few_rows_is_empty(spark):
     layer = canon(spark, [{}, {}]).withColumn("probable_error", F.lit(False))
     none = models.lagged_forecast(layer, ["traffic_volume"], replicates=5)
-    assert none.count() == 0 and none.columns[-2:] == ["improvement_low", "improvement_high"]
+    assert none.count() == 0 and none.columns[-4:] == ["improvement_low", "improvement_high", "r2_low", "r2_high"]
 
 
 def test_permutation_p_is_small_for_an_effect(spark):
@@ -280,7 +280,7 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert row["ci_low"] < row["mean"] == 4.5 < row["ci_high"]
 
 
-REPLICATED = {"permutation_eta": 5000, "bootstrap_mean": 5000, "group_gates": 5000, "diagnostics": 5000, "relationship_effects": 3000, "group_effects": 3000, "lagged_forecast": 3000}
+REPLICATED = {"permutation_tests": 5000, "bootstrap_means": 5000, "group_gates": 5000, "diagnostics": 5000, "relationship_effects": 3000, "group_effects": 3000, "lagged_forecast": 3000}
 
 
 def test_registered_replicates(monkeypatch):
@@ -294,16 +294,18 @@ def test_registered_replicates(monkeypatch):
     def ask(name):
         def made(*args, **given):
             asked[name] = next((v for v in [*args, given.get("replicates")] if isinstance(v, int) and v > 0), None)
+            return SimpleNamespace(drop=lambda *names: None)
 
         return made
 
     monkeypatch.setattr(catalog, "rounded", lambda df: df)
     monkeypatch.setattr(stats, "long_values", lambda *args: None)
     for name in REPLICATED:
-        module = next(m for m in (stats, models, provenance) if hasattr(m, name))
+        module = next(m for m in (resample, stats, models, provenance) if hasattr(m, name))
         monkeypatch.setattr(module, name, ask(name))
     for name in REPLICATED:
-        catalog._OF_TABLES["provenance_diagnostics" if name == "diagnostics" else name](SimpleNamespace(marked=None, layer=None))
+        query = {"diagnostics": "provenance_diagnostics", "permutation_tests": "permutation_eta", "bootstrap_means": "bootstrap_mean"}.get(name, name)
+        catalog._OF_TABLES[query](SimpleNamespace(marked=None, layer=None))
     assert asked == REPLICATED
 
 
@@ -317,9 +319,62 @@ def test_blocks_of_replicates_change_nothing(spark, monkeypatch):
     assert stats.permutation_eta(layer, "city", 7, metrics=["traffic_volume"]).collect() == one
 
 
-def test_block_bootstrap_against_numpy_with_many_replicates(spark):
-    import hashlib
+def test_deals_by_counts_and_by_shuffling_agree():
+    """Both ways of dealing against the exact distribution of a small case."""
+    from itertools import permutations
+
+    values, n, sizes = np.array([1.0, 5.0, 9.0]), np.array([3, 2, 2]), np.array([3, 4])
+    rows = np.repeat(values, n)
+    exact = np.array([(sum(p[:3]) ** 2 / 3 + sum(p[3:]) ** 2 / 4) for p in permutations(rows.tolist())])
+    shuffled = resample.dealt_between(resample.generator(1), values, n, sizes, 4000)
+    assert abs(shuffled.mean() - exact.mean()) < 0.05 * exact.std() and abs(shuffled.std() - exact.std()) < 0.05 * exact.std()
+    many = n * 200  # now drawn by counts: mean and spread of a deal are known
+    drawn = resample.dealt_between(resample.generator(2), values, many, sizes * 200, 4000)
+    rows = np.repeat(values, many)
+    total, k = len(rows), 600
+    spread = rows.var() * total / (total - 1)
+    between = (drawn - rows.sum() ** 2 / total) / spread  # about chi-squared with one degree of freedom
+    assert abs(between.mean() - 1) < 0.1 and abs(between.var() - 2) < 0.5 and k == sizes[0] * 200
+
+
+def test_group_gates_find_a_planted_effect_and_no_other(spark):
+    """With the replicates of the registered query the gate can be passed."""
+    rng = np.random.default_rng(4)
+    rows = [{"city": c, "zone": z, "traffic_volume": int(100 + 40 * (c == "Pune") + rng.integers(0, 60)), "road_incidents": int(rng.integers(0, 9))} for c in ("Pune", "Delhi") for z in ("North", "South") for _ in range(60)]
+    layer = canon(spark, rows).withColumn("probable_error", F.lit(False))
+    found = {(r["factor"], r["metric"]): r for r in stats.group_gates(layer, 5000).collect()}
+    assert found["city", "traffic_volume"]["supported"] and found["city", "traffic_volume"]["p_holm"] < 0.01
+    assert not found["city", "road_incidents"]["supported"] and not found["zone", "traffic_volume"]["supported"]
+    plain = {r["metric"]: r["eta2"] for r in stats.permutation_eta(layer, "city", 1, metrics=["traffic_volume", "road_incidents"]).collect()}
+    assert all(math.isclose(plain[m], found["city", m]["eta2"], rel_tol=1e-9) for m in plain)
+
+
+def test_bootstrap_by_counts_holds_the_mean(spark):
+    values = spark.createDataFrame([("m", float(k % 10)) for k in range(500)], "metric string, value double")
+    row = resample.bootstrap_means(values, ["metric"], 3000).first()
+    half = 2.576 * np.std(np.arange(10)) / math.sqrt(500)
+    assert row["n"] == 500 and row["mean"] == 4.5 and abs(row["ci_low"] - 4.5 + half) < 0.05 and abs(row["ci_high"] - 4.5 - half) < 0.05
+
+
+def test_simulation_in_tasks_agrees_with_the_joins(spark, monkeypatch):
+    from tidemark.operators import provenance
+
+    rng = np.random.default_rng(8)
+    rows = [{"city": ["Pune", "Delhi"][k % 2], "zone": ["North", "South", ""][k % 3], "traffic_volume": int(rng.integers(0, 50)), "road_incidents": int(rng.integers(0, 5)), "timestamp_text": str(dt.datetime(2026, 1, 1) + dt.timedelta(hours=4 * k))} for k in range(60)]
+    values = provenance.observed_values(canon(spark, rows)).persist()
+    key = lambda r: (r["category"], r["variable_x"], r["variable_y"], r["grouping"])
+    inside, joined = {}, {}
+    for r in provenance.simulated(values, 400).collect():
+        inside.setdefault(key(r), []).append(r["value"])
+    for r in provenance._statistics(provenance.permuted(values, 25), ["rep"]).collect():
+        joined.setdefault(key(r), []).append(r["value"])
+    assert len(inside) == 63 and set(joined) <= set(inside)
+    for k, v in joined.items():
+        spread = max(np.std(inside[k]), np.std(v))
+        assert abs(np.mean(v) - np.mean(inside[k])) <= 4 * spread / 5 + 1e-9, k
+
 
+def test_block_bootstrap_against_numpy_with_many_replicates(spark):
     rng = np.random.default_rng(2)
     x, day = rng.normal(size=60), [f"d{k % 6}" for k in range(60)]
     y = 2 + 3 * x + rng.normal(size=60)
@@ -327,14 +382,32 @@ def test_block_bootstrap_against_numpy_with_many_replicates(spark):
     xy = rows.select("observation_date", "y", F.array(F.lit(1.0), "x0").alias("x")).repartition(3)
     fit = models.Fit("huber", np.array([2.0, 3.0]), 1.0)
     found = models.block_bootstrap(xy, fit, 2, 3000, 7)
-    X, bounds = np.stack([np.ones(60), x], axis=1), np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    X = np.stack([np.ones(60), x], axis=1)
+    weights = {d: resample.generator(7, d).poisson(1.0, 3000) for d in set(day)}
     for r in (0, 1, 1499, 2999):
-        u = {d: int(hashlib.md5(f"7|{r}|{d}".encode()).hexdigest()[:8], 16) for d in set(day)}
-        w = models.huber_weights(y - X @ fit.beta, 1.0) * np.array([sum(u[d] >= int(b * 2**32) for b in bounds) for d in day])
+        w = models.huber_weights(y - X @ fit.beta, 1.0) * np.array([weights[d][r] for d in day])
         assert np.allclose(found[r], models.solve(models._moments(X, w, y), 2))
     assert found.shape == (3000, 2)
 
 
+def test_marginal_means_against_setting_every_row(spark):
+    rng = np.random.default_rng(1)
+    rows = [{"city": rng.choice(["a", "b", "c"]), "zone": rng.choice(["North", "South"]), "traffic_volume": int(k % 7)} for k in range(50)]
+    layer = models.analysis_rows(canon(spark, rows).withColumn("probable_error", F.lit(False)))
+    d = models.design(layer)
+    xy = models.matrix(layer, d, "traffic_volume")
+    X = np.array([r["x"] for r in xy.collect()])
+    betas = rng.normal(0, 0.1, (4, len(d.names)))
+    for log_link in (False, True):
+        for level, got in models.marginal_means(xy, d, "city", betas, log_link).items():
+            fixed = X.copy()
+            for j, name in enumerate(d.names):
+                if name.startswith("city="):
+                    fixed[:, j] = name == f"city={level}"
+            eta = fixed @ betas.T
+            assert np.allclose(got, (np.exp(eta) if log_link else eta).mean(axis=0))
+
+
 @pytest.mark.parametrize("name", ["ridge_forecast", "group_effects", "lagged_forecast"])
 def test_registered_for_all_metrics(monkeypatch, name):
     import inspect

@@ -233,11 +233,22 @@ def hypothesis_table(layer: DataFrame) -> DataFrame:
 def group_gates(layer: DataFrame, replicates: int = 5000, seed: int = 0) -> DataFrame:
     """City and zone effects with permutation p, Holm within each factor, and
     both gates.  layer has probable_error; unknown zones are left out."""
-    parts = [permutation_eta(layer, f, replicates, seed, True).withColumn("factor", F.lit(f)) for f in ("city", "zone")]
-    tests = holm(parts[0].unionByName(parts[1]), ["factor"], ["metric"])
+    from .resample import permutation_tests
+
+    tests = holm(permutation_tests(layer, ["city", "zone"], replicates, seed, True), ["factor"], ["metric"])
     return tests.select("factor", "metric", "eta2", "p", "p_holm", ((F.col("eta2") >= ETA_GATE) & (F.col("p_holm") < ALPHA)).alias("supported"))
 
 
+def group_tests(layer: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """All five factors by all nine metrics: eta squared, permutation p, Holm
+    over the family of 45 and over the nine of each factor, and the gate."""
+    from .resample import permutation_tests
+
+    tests = permutation_tests(layer, FACTORS, replicates, seed).withColumn("family", F.lit("all"))
+    both = holm(holm(tests, ["factor"], ["metric"]).withColumnRenamed("p_holm", "p_holm_factor"), ["family"], ["factor", "metric"])
+    return both.select("factor", "metric", "n", "groups", "eta2", "p", "p_holm_factor", "p_holm", (F.col("p_holm") < ALPHA).alias("significant"))
+
+
 def top_effects(effects: DataFrame, k: int = 12) -> DataFrame:
     return effects.orderBy(F.desc("eta2"), "factor", "metric").limit(k)
 

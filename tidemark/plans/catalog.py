@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import api, audit, governance, layers, models, plausibility, provenance, quality, scenarios, stats
+from ..operators import api, audit, governance, layers, models, plausibility, provenance, quality, resample, scenarios, stats
 from ..schema import METRICS
 from ..sources.observations import daily_benchmarks, observations, table, upsert
 from ..streaming.refresh import slot_counts
@@ -159,9 +159,10 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "registries": lambda t: governance.registries(t.raw.sparkSession),
     "evidence_rollup": lambda t: governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer)),
     # iterative or simulated, with the method's replicates: no SQL twin.  The
-    # two named _small are the first two with the few that their SQL has
-    "permutation_eta": lambda t: rounded(stats.permutation_eta(t.marked, "city", PERMUTATIONS, 0, True)),
-    "bootstrap_mean": lambda t: rounded(stats.bootstrap_mean(stats.long_values(t.layer, ["record_id"]), ["metric"], BOOTSTRAPS)),
+    # two named _small draw by digests, as their SQL does, a few replicates
+    "permutation_eta": lambda t: rounded(resample.permutation_tests(t.marked, ["city"], PERMUTATIONS, 0, True).drop("factor", "n", "groups")),
+    "bootstrap_mean": lambda t: rounded(resample.bootstrap_means(stats.long_values(t.layer, []), ["metric"], BOOTSTRAPS)),
+    "group_tests": lambda t: rounded(stats.group_tests(t.layer)),
     "group_gates": lambda t: rounded(stats.group_gates(t.marked, PERMUTATIONS)),
     "provenance_diagnostics": lambda t: rounded(provenance.diagnostics(t.layer, governance.PROVENANCE_PROTOCOL[0][1])),
     "ridge_forecast": lambda t: rounded(models.ridge_forecast(t.marked)),
