@@ -33,20 +33,31 @@ def flag_rules() -> list[tuple[Column, str, str, Column | None, Column | None, s
     return rules + [(condition, m, "outlier", F.col(m).cast("string"), F.col(m).cast("string"), effect) for m, condition, effect in limits]
 
 
-def issue_rules() -> list[tuple[Column, str, str, str, bool, str]]:
-    """(condition, column, issue, treatment, needs the owner?, severity)."""
+# The treatments and severities of issues.
+PRESERVE, CANONICALIZE = "preserve_missing", "canonicalize_case_only"
+VALUE_ISSUES = [
+    # column, issue, treatment, severity
+    ("avg_speed_kmph", "negative_value", "exclude_primary_analysis_do_not_overwrite", "high"),
+    ("avg_speed_kmph", "extreme_value", "retain_flag_exclude_primary_analysis", "high"),
+    ("parking_occupancy_pct", "above_100", "retain_flag_review_semantics", "medium"),
+    ("temperature_c", "high_value", "retain_flag_review_sensor_context", "medium"),
+    ("power_outage_minutes", "above_60", "retain_flag_review_window_definition", "low"),
+]
+
+
+def issue_rules() -> list[tuple[Column, str, str, Column | None, Column | None, str, bool, str]]:
+    """(condition, column, issue, raw value, suggested value, treatment, needs
+    the owner?, severity)."""
     rules = [
-        (_zone_blank(), "zone", "missing", "preserve_missing", True, "medium"),
-        (_zone_changed(), "zone", "case_variant", "canonicalize_case_only", False, "low"),
-    ]
-    rules += [(F.col(m).isNull(), m, "missing", "preserve_missing", True, "medium") for m in METRICS]
-    return rules + [
-        (F.col("avg_speed_kmph") < SPEED_RANGE[0], "avg_speed_kmph", "negative_value", "exclude_primary_analysis_do_not_overwrite", True, "high"),
-        (F.col("avg_speed_kmph") > SPEED_RANGE[1], "avg_speed_kmph", "extreme_value", "exclude_primary_analysis_do_not_overwrite", True, "high"),
-        (F.col("parking_occupancy_pct") > PARKING_LIMIT, "parking_occupancy_pct", "above_100", "retain_flag_review_semantics", True, "medium"),
-        (F.col("temperature_c") >= TEMPERATURE_LIMIT, "temperature_c", "high_value", "retain_flag_review_sensor_context", True, "medium"),
-        (F.col("power_outage_minutes") > OUTAGE_LIMIT, "power_outage_minutes", "above_60", "retain_flag_review_window_definition", True, "low"),
+        (_zone_blank(), "zone", "missing", None, None, PRESERVE, True, "medium"),
+        (_zone_changed(), "zone", "case_variant", F.col("raw_zone"), F.col("zone"), CANONICALIZE, False, "low"),
     ]
+    rules += [(F.col(m).isNull(), m, "missing", None, None, PRESERVE, True, "medium") for m in METRICS]
+    beyond = {
+        "negative_value": F.col("avg_speed_kmph") < SPEED_RANGE[0], "extreme_value": F.col("avg_speed_kmph") > SPEED_RANGE[1], "above_100": F.col("parking_occupancy_pct") > PARKING_LIMIT,
+        "high_value": F.col("temperature_c") >= TEMPERATURE_LIMIT, "above_60": F.col("power_outage_minutes") > OUTAGE_LIMIT,
+    }
+    return rules + [(beyond[issue], m, issue, F.col(m).cast("string"), None, treatment, True, severity) for m, issue, treatment, severity in VALUE_ISSUES]
 
 
 def _events(layer: DataFrame, structs: list[tuple[Column, Column]]) -> DataFrame:
@@ -64,7 +75,7 @@ def quality_flags(layer: DataFrame) -> DataFrame:
 
 
 def quality_issues(layer: DataFrame) -> DataFrame:
-    return _events(layer, [(c, F.struct(F.lit(f).alias("column_name"), F.lit(i).alias("issue_type"), F.lit(t).alias("treatment"), F.lit(owner).alias("needs_owner"), F.lit(s).alias("severity"))) for c, f, i, t, owner, s in issue_rules()])
+    return _events(layer, [(c, F.struct(F.lit(f).alias("column_name"), F.lit(i).alias("issue_type"), _text(raw).alias("raw_value"), _text(to).alias("suggested_value"), F.lit(t).alias("treatment"), F.lit(owner).alias("needs_owner"), F.lit(s).alias("severity"))) for c, f, i, raw, to, t, owner, s in issue_rules()])
 
 
 def row_status(layer: DataFrame) -> DataFrame:
@@ -100,8 +111,36 @@ DECISIONS = [
 ]
 
 
+#: What each decision does, to the primary analysis too, and why, in our words.
+DECISION_TEXTS = {
+    "duplicates": ("drop all but the first copy from the canonical layer, log it, keep raw rows", "left out", "copies agree in every column of the source"),
+    "zone_case": ("write the label of the vocabulary, keep the raw text", "used under the label", "spellings that differ in case alone name one zone"),
+    "zone_missing": ("keep null and flag, never guess", "left out where zones matter", "nothing in the source tells the zone"),
+    "traffic_missing": ("keep null, no imputation", "left out for traffic", "a row alone can't repair a gap"),
+    "speed_missing": ("keep null, no imputation", "left out for speed", "a row alone can't repair a gap"),
+    "temperature_missing": ("keep null, no imputation", "left out for temperature", "a row alone can't repair a gap"),
+    "speed_negative": ("keep the value and flag, never turn its sign", "left out for speed", "sign error or code for missing: the source doesn't say"),
+    "speed_extreme": ("keep the value and flag", "left out for speed until confirmed", "beyond the domain, but a unit or source error is possible"),
+    "parking_over_100": ("keep and flag, no cap", "used, without reading it as a share", "more than nominal capacity can be parked; the denominator isn't documented"),
+    "temperature_high": ("keep and flag until a station's record for that day is found", "used as flagged", "public products don't confirm single rows"),
+    "outage_over_60": ("keep and flag", "used with its flag", "a window of four hours can hold more than an hour"),
+}
+#: Links from decisions to the sources consulted (decision, source, role, status).
+EVIDENCE_LINKS = [
+    ("temperature_high", "national climate service", "daily temperature products and the route to historical data", "not_confirmed"),
+    ("temperature_high", "city weather reports of stations", "recorded extremes and their departures from normal", "not_confirmed"),
+]
+
+
 def decision_table(spark) -> DataFrame:
-    return spark.createDataFrame(DECISIONS, "decision_key string, column_name string, issue_type string, decision_class string, confirmation string")
+    rows = [(*d, *DECISION_TEXTS[d[0]]) for d in DECISIONS]
+    return spark.createDataFrame(rows, "decision_key string, column_name string, issue_type string, decision_class string, confirmation string, treatment string, primary_effect string, rationale string")
+
+
+def evidence_links(decided: DataFrame) -> DataFrame:
+    """The sources consulted for each decision that has issues."""
+    links = decided.sparkSession.createDataFrame(EVIDENCE_LINKS, "decision_key string, source string, role string, confirmation_status string")
+    return links.join(decided.filter("observed_count > 0").select("decision_key", "observed_count"), "decision_key")
 
 
 def decisions(layer: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -122,3 +161,34 @@ def issue_signals(decided: DataFrame, validation: DataFrame) -> DataFrame:
     known = decided.select(name.alias("signal"), F.col("observed_count").alias("n")).filter("signal IS NOT NULL")
     errors = validation.agg(F.count_if(F.col("decision") == "probable_error").alias("n")).select(F.lit("Temperature probable errors").alias("signal"), "n")
     return known.unionByName(errors).groupBy("signal").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "signal")
+
+
+#: How the reasons of flags of imputed values and of benchmarks begin.
+IMPUTED_PREFIX, BENCHMARK_REASON = "imputed for sensitivity:", "outside the benchmark range of its city"
+
+
+def imputed_flags(events: DataFrame) -> DataFrame:
+    """A flag with its reason for every value that was filled."""
+    reason = F.concat_ws(" ", F.lit(IMPUTED_PREFIX), F.col("method"), F.lit("of"), F.col("field"))
+    return events.select("record_id", F.col("field").alias("field_name"), F.lit("imputed").alias("flag_type"), reason.alias("reason"), F.lit("sensitivity only").alias("effect"))
+
+
+def benchmark_flags(checked: DataFrame) -> DataFrame:
+    """A flag for every temperature outside the range of its city."""
+    outside = checked.filter(F.col("status").isin("below", "above"))
+    return outside.select("record_id", F.lit("temperature_c").alias("field_name"), F.lit("outlier").alias("flag_type"), F.lit(BENCHMARK_REASON).alias("reason"), F.lit("kept, not interpreted").alias("effect"))
+
+
+def with_reason(flags: DataFrame) -> DataFrame:
+    return flags.select("record_id", "field_name", "flag_type", F.lit(None).cast("string").alias("reason"), "effect")
+
+
+def delete_by_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """rows without those whose column begins with prefix; nulls stay."""
+    return rows.filter(~F.coalesce(F.col(column).startswith(prefix), F.lit(False)))
+
+
+def refreshed_flags(flags: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
+    """flags with those of a reason prefix replaced by new: running it twice
+    gives what running it once does."""
+    return delete_by_prefix(flags, "reason", prefix).unionByName(new)

