@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship, textkit, worker
+from .saved import saved
 
 ship(__name__)
 
@@ -191,5 +192,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE = {"op1_quality_rules": OP1_SQL}
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of every policy version, from one ledger."""
+    entries = saved(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"), []).select("fail_bits"))
+    return reduce(DataFrame.unionByName, (ablations(entries, policy).select(F.lit(policy).alias("policy"), "name", "n_fail", "n_only", "kept_without") for policy in POLICIES))
+
+
+def _ablation_sql() -> str:
+    out = []
+    for policy, names in POLICIES.items():
+        for name in names:
+            bit = 1 << list(RULES).index(name)
+            rest = f"fail_bits & {mask(policy) & ~bit} = 0"
+            out.append(f"SELECT '{policy}' AS policy, '{name}' AS name, count(*) FILTER (fail_bits & {bit} <> 0) AS n_fail, count(*) FILTER (fail_bits & {bit} <> 0 AND {rest}) AS n_only, count(*) FILTER ({rest}) AS kept_without FROM o")
+    return f"WITH o AS ({OP1_SQL})\n" + " UNION ALL ".join(out)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "quality_rule_ablations": quality_rule_ablations}
+ORACLE = {"op1_quality_rules": OP1_SQL, "quality_rule_ablations": _ablation_sql()}
