@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship
-from .saved import folder, saved
+from .saved import saved, scratch
 
 ship(__name__)
 
@@ -263,7 +262,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    path = f"{folder(spark).rstrip('/')}/tidemark-warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc-")
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
     found = read_archives(spark, path, payload=False)
