@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship, textkit, worker
-from .saved import saved
+from .saved import drop, saved
 from .spread import heavy, spread_join
 
 ship(__name__)
@@ -147,7 +147,9 @@ def stars(members: DataFrame) -> DataFrame:
     scored = saved(members.join(score, "rep").select("bucket", "rep", "score"))
     leaders = saved(scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("first"))).alias("top"), F.count("*").alias("size")).select("bucket", (-F.col("top.first")).alias("leader"), "size"))
     led = spread_join(scored, leaders.select("bucket", "leader"), "bucket", F.col("rep"), heavy(leaders, "bucket", "size"))
-    return led.filter("leader <> rep").select("leader", "rep").distinct()
+    pairs = saved(led.filter("leader <> rep").select("leader", "rep").distinct())
+    drop(scored, leaders)
+    return pairs
 
 
 def by_leader(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -369,7 +371,8 @@ def components(links: DataFrame) -> DataFrame:
         half = spread_join(edges, roots, "a", F.col("b"), degrees).select("b", F.col("to").alias("x"))
         turned = heavy(hooks.select(F.col("a").alias("b"), "k"), "b", "k")
         both = spread_join(half, roots.select(F.col("a").alias("b"), "to"), "b", F.col("x"), turned)
-        edges = saved(both.filter("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct())
+        last, edges = edges, saved(both.filter("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct())
+        drop(last)
     # a root is any of its component's nodes: name it by the smallest
     low = saved(labels.groupBy("component").agg(F.min("node").alias("low"), F.count("*").alias("k")))
     return spread_join(labels, low.select("component", "low"), "component", F.col("node"), heavy(low, "component", "k")).select("node", F.col("low").alias("component"))
@@ -392,13 +395,17 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     # equal sets are one class, named by its smallest id
     classes = saved(full.groupBy("grp").agg(F.min(F.col(id_column).cast("bigint")).alias("rep"), F.first("registers").alias("registers")))
     members = saved(buckets(classes, registers, band))
-    pairs = saved(stars(members))
+    pairs = stars(members)
+    drop(members)
     involved = saved(pairs.select("rep").unionByName(pairs.select(F.col("leader").alias("rep"))).distinct().join(classes.select("rep", "registers").hint("merge"), "rep"))
     texts = saved(texts_of(df, involved, id_column, text_column))
+    drop(involved)
     compared = saved(compare_with_leaders(pairs, texts, percent, width))
     links = saved(compared.filter(f"shared >= 0 AND 100 * shared >= {percent} * (n + n_leader - shared)").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     rest = saved(compare_rest(compared, saved(components(links)), texts, percent, width))
+    drop(pairs, texts, compared)
     found = saved(components(links.unionByName(rest)))
+    drop(links, rest)
     named = classes.select("grp", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("grp", F.coalesce("component", "rep").alias("component_id"))
     sizes = saved(rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("k")))
     kept = rows.select(id_column, "n_shingles", "grp").withColumn("__salt", F.monotonically_increasing_id())

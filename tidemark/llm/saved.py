@@ -41,3 +41,13 @@ def saved(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more, so that
+    the shared folder holds what is still needed only."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
