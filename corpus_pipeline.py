@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules, worker
-from tidemark.llm.saved import saved
+from tidemark.llm.saved import drop, saved
 from tidemark.llm.spread import heavy, spread_join
 
 #: Documents that score less are rejected.
@@ -40,12 +40,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the smallest id, null ids last; of rows that repeat it, one.  Rows
     without words stay."""
     # numbers are written with their rows, since they depend on the scan
-    rows = saved(worker.boxed(docs, "doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
-    found = saved(near_duplicates.near_duplicates(rows, "number").filter("n_shingles > 0").select("number", "component_id"))
+    rows = saved(worker.boxed(docs).withColumn("number", F.monotonically_increasing_id()))
+    texts = rows.select("number", "__row.doc_id", "__row.text")
+    found = saved(near_duplicates.near_duplicates(texts, "number").filter("n_shingles > 0").select("number", "component_id"))
     # only groups of several rows have a row that isn't named by its own number
     sizes = saved(found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1"))
     large = heavy(sizes, "component_id", "n")
-    members = saved(spread_join(found, sizes, "component_id", F.col("number"), large).join(rows.select("number", "doc_id"), "number"))
+    members = saved(spread_join(found, sizes, "component_id", F.col("number"), large).join(texts.select("number", "doc_id"), "number"))
     one = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))["number"].alias("first"))
     gone = saved(spread_join(members, one, "component_id", F.col("number"), large).filter("number <> first").select("number"))
     return rows.join(gone, "number", "left_anti").select("__row.*")
@@ -77,6 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the tables between them are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, saved(stage(spark, docs, sf_dir))
+        if k:  # the first are the input
+            drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
