@@ -426,3 +426,33 @@ def test_registered_for_all_metrics(monkeypatch, name):
     monkeypatch.setattr(models, name, made)
     catalog._OF_TABLES[name](SimpleNamespace(marked=None))
     assert asked == [METRICS] and len(METRICS) == 9
+
+
+def test_flags_are_refreshed_by_prefix(spark):
+    old = spark.createDataFrame([("a", "zone", "imputed", "imputed for sensitivity: old", "x"), ("b", "zone", "missing", None, "x"), ("c", "zone", "outlier", "else", "x")], "record_id string, field_name string, flag_type string, reason string, effect string")
+    new = old.filter("record_id = 'a'").withColumn("reason", F.lit("imputed for sensitivity: new"))
+    once = quality.refreshed_flags(old, new, quality.IMPUTED_PREFIX)
+    twice = quality.refreshed_flags(once, new, quality.IMPUTED_PREFIX)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect())) and {r["reason"] for r in twice.collect()} == {None, "else", "imputed for sensitivity: new"}
+
+
+def test_upsert_takes_the_last_of_a_key(spark):
+    base = spark.createDataFrame([("k", 1, "old"), ("l", 1, "kept")], "key string, version int, value string")
+    new = spark.createDataFrame([("k", 3, "a"), ("k", 2, "z"), ("m", 1, "b")], "key string, version int, value string")
+    got = {r["key"]: r["value"] for r in sources.upsert(base, new, ["key"], ["version"]).collect()}
+    assert got == {"k": "a", "l": "kept", "m": "b"}
+
+
+def test_latest_run(spark):
+    from tidemark.operators import governance
+
+    runs = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "stage string, run int")
+    assert governance.latest(runs, ["run"]).collect() == [("a", 3)]
+    assert sorted(map(tuple, governance.latest(runs, ["run"], ["stage"]).collect())) == [("a", 3), ("b", 2)]
+    assert governance.latest(runs.filter("run > 9"), ["run"]).count() == 0
+
+
+def test_issues_hold_raw_and_suggested_values(spark):
+    layer = canon(spark, [{"zone": "NORTH", "avg_speed_kmph": 150.0}])
+    got = {r["issue_type"]: (r["raw_value"], r["suggested_value"], r["treatment"]) for r in quality.quality_issues(layer).collect() if r["issue_type"] != "missing"}
+    assert got == {"case_variant": ("NORTH", "North", "canonicalize_case_only"), "extreme_value": ("150.0", None, "retain_flag_exclude_primary_analysis")}
