@@ -609,3 +609,22 @@ def test_slices_hold_whole_documents():
     batch = pa.record_batch([pa.array(texts)], names=["text"]).slice(1)
     parts = [(rows.num_rows, bytes(data)) for rows, data, _ in textkit.slices(batch)]
     assert sum(n for n, _ in parts) == 3 and b"".join(d for _, d in parts) == b"b" + b"c" * 10
+
+
+def test_saved_tables_are_dropped(spark):
+    from tidemark.llm.saved import drop, saved
+
+    table, other = saved(spark.range(5)), saved(spark.range(3))
+    drop(table)
+    assert not os.path.exists(table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]) and other.count() == 3
+
+
+def test_joins_on_one_heavy_key(spark):
+    from tidemark.llm.spread import heavy, spread_join
+
+    rows = spark.range(5000).select((F.when(F.col("id") < 4000, 7).otherwise(F.col("id"))).alias("key"), "id")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    joined = spread_join(rows, sizes, "key", F.col("id"), heavy(sizes, "key", "n"))
+    assert joined.count() == 5000 and joined.filter("key = 7 AND n = 4000").count() == 4000
+    assert spread_join(rows, sizes.filter("key > 4500"), "key", F.col("id"), heavy(sizes, "key", "n"), "left").count() == 5000
+    assert [r["__parts"] for r in heavy(sizes, "key", "n").filter("__heavy = 7").collect()] == [1000]
