@@ -394,6 +394,7 @@ def test_ogg_round_trip(spark):
         r = rows[k]
         assert (r["status"], r["n_bytes"], r["payload_bytes"]) == ("ok", len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert sum(t["end"] - t["start"] for t in r["times"]) == pytest.approx(len(payload) / 8000)
     assert rows[0]["media_sha256"] == rows[1]["media_sha256"]
 
 
@@ -411,7 +412,14 @@ def test_ogg_checksums_and_damage():
         assert ogg.page_checksum(data) == crc_by_bits(data)
     media = ogg.encode_payload(bytes(range(256)) * 9 * 100)
     payload, read = ogg.decode_payload(media)
-    assert payload == bytes(range(256)) * 900 and read["streams"] == 2 and read["seconds"] == pytest.approx(len(payload) / 2 / 8000)
+    assert payload == bytes(range(256)) * 900 and read["streams"] == 2
+    # every packet has its time, though a page names the end of its last only
+    for s in range(2):
+        times = [t[1:] for t in read["times"] if t[0] == s]
+        size = ogg.FRAME * ogg.PACKET_FRAMES / 8000
+        whole = len(payload) / 2 / 8000
+        assert times == [(k, pytest.approx(k * size), pytest.approx(min((k + 1) * size, whole))) for k in range(len(times))]
+        assert times[-1][2] == pytest.approx(whole)
     for at in (30, 200, len(media) // 2, len(media) - 5):
         with pytest.raises(ogg.BadMedia):
             ogg.decode_payload(media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :])
@@ -419,6 +427,25 @@ def test_ogg_checksums_and_damage():
         ogg.decode_payload(media[:-10])
 
 
+def test_ogg_packet_ends():
+    assert ogg.packet_ends([], []) == []
+    assert ogg.packet_ends([5, 7, 9], [-1, -1, 21]) == [5, 12, 21]
+    assert ogg.packet_ends([5, 7, 9], [5, -1, 121]) == [5, 112, 121]
+    assert ogg.packet_ends([5, 7, 9], [5, -1, -1]) == [5, 12, 21]
+
+
+def test_ogg_gap_is_an_error():
+    """A valid checksum with a granule position that the packets don't fill."""
+    head = ogg.make_page(ogg.FIRST, 0, 8, 0, bytes([ogg._IDENT_SIZE]), ogg.struct.pack(ogg._IDENT, ogg._MAGIC, 0, 1, 8000, ogg.FRAME))
+    for granule, good in ((576, True), (577, False), (575, False), (0, False)):
+        media = head + ogg.make_page(ogg.LAST, granule, 8, 1, bytes([255, 255, 66]), b"a" * 576)
+        if good:
+            assert ogg.decode_payload(media)[1]["times"] == [(0, 0, 0.0, 0.072)]
+        else:
+            with pytest.raises(ogg.BadMedia):
+                ogg.decode_payload(media)
+
+
 def test_bad_media_column(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "doc_id long, media binary")
     assert {r["doc_id"]: r["status"].split(":")[0] for r in ogg.decode(df).collect()} == {1: "no media", 2: "bad"}

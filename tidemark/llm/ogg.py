@@ -147,36 +147,53 @@ def demultiplex(media: bytes) -> tuple[dict[int, dict], int]:
     return streams, pages
 
 
+def packet_ends(sizes: list[int], granules: list[int]) -> list[int]:
+    """The granule position at the end of each packet of a stream.  A page gives
+    that of the last packet it closes; packets before it in the page are counted
+    back by their sizes, packets after the last known position on."""
+    ends = list(granules)
+    for k in range(len(ends) - 2, -1, -1):
+        if ends[k] < 0 <= ends[k + 1]:
+            ends[k] = ends[k + 1] - sizes[k + 1]
+    for k, end in enumerate(ends):
+        if end < 0:
+            ends[k] = (ends[k - 1] if k else 0) + sizes[k]
+    return ends
+
+
 def decode_payload(media: bytes) -> tuple[bytes, dict]:
-    """The payload that encode_payload stored, and what was read on the way."""
+    """The payload that encode_payload stored, and what was read on the way:
+    counts of streams and pages, and (stream, packet, start, end) in seconds for
+    every packet of samples.  Packets that leave a gap or overlap are an error."""
     streams, pages = demultiplex(media)
-    tracks, seconds, packets = {}, 0.0, 0
+    tracks, times = {}, []
     for own in streams.values():
         magic, s, count, rate, frame = struct.unpack(_IDENT, own["packets"][0])
         if magic != _MAGIC or frame != FRAME or count != len(streams):
             raise BadMedia("unknown stream")
         body = own["packets"][1:]
-        total = 0
-        for packet, granule in zip(body, own["granules"][1:]):
-            total += len(packet)
-            if granule not in (-1, total):
+        sizes = [len(packet) for packet in body]
+        begin = 0
+        for k, (size, end) in enumerate(zip(sizes, packet_ends(sizes, own["granules"][1:]))):
+            if end - size != begin:
                 raise BadMedia("granule position")
+            times.append((s, k, begin / rate, end / rate))
+            begin = end
         tracks[s] = b"".join(body)
-        packets += len(body)
-        if own["granules"][-1] > 0:
-            seconds = max(seconds, own["granules"][-1] / rate)
     total = sum(map(len, tracks.values()))
     payload = np.zeros((total // FRAME, FRAME), np.uint8)
     for s, track in tracks.items():
         payload[s :: len(tracks)] = np.frombuffer(track, np.uint8).reshape(-1, FRAME)
-    return payload.tobytes(), {"streams": len(streams), "pages": pages, "packets": packets, "seconds": seconds}
+    return payload.tobytes(), {"streams": len(streams), "pages": pages, "times": times}
 
 
 def describe(payload: bytes, read: dict) -> str:
-    """Features of the samples and the container, as text."""
+    """Features of the samples and the container, as text.  `seconds` is when
+    the last packet ends, `last_start` when the last one begins."""
     samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((samples[1:] >= 0) != (samples[:-1] >= 0)))
-    return f"streams={read['streams']};pages={read['pages']};packets={read['packets']};seconds={read['seconds']:.3f};mean={samples.mean():.4f};energy={int((samples * samples).sum())};crossings={crossings}"
+    seconds, last = (max((t[k] for t in read["times"]), default=0.0) for k in (3, 2))
+    return f"streams={read['streams']};pages={read['pages']};packets={len(read['times'])};seconds={seconds:.3f};last_start={last:.3f};mean={samples.mean():.4f};energy={int((samples * samples).sum())};crossings={crossings}"
 
 
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -194,15 +211,17 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media", payload: bool = True) -> DataFrame:
-    """What reading the files gives, one row each, with the payload unless
-    `payload` is false: then only its digests leave the workers.  `status` is ok, or says
-    what is wrong with the file, and the other columns are then null; a null
-    file has the status `no media`."""
+    """What reading the files gives, one row each, with the payload and the
+    times of its packets in seconds unless `payload` is false: then only digests
+    and features leave the workers.  `status` is ok, or says what is wrong with
+    the file, and the other columns are then null; a null file has the status
+    `no media`.  Repeated ids are read each; empty in, empty out."""
     kind = df.schema[id_column].dataType.simpleString()
     fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("status", pa.string())]
-    fields += [("payload", pa.binary())] * payload
-    with_payload = payload
-    no_payload = (None,) * with_payload
+    time = [("stream", pa.int32()), ("packet", pa.int32()), ("start", pa.float64()), ("end", pa.float64())]
+    fields += [("payload", pa.binary()), ("times", pa.list_(pa.struct(time)))] if payload else []
+    whole = payload
+    no_payload = (None, None) if whole else ()
 
     def read(media: bytes | None) -> tuple:
         if media is None:
@@ -211,7 +230,8 @@ def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media"
             payload, found = decode_payload(media)
         except (BadMedia, struct.error, IndexError, ValueError) as error:
             return (None,) * 7 + (f"bad: {error}",) + no_payload
-        return len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload, found), "ok", *([payload] * with_payload)
+        content = (payload, [dict(zip(("stream", "packet", "start", "end"), t)) for t in found["times"]]) if whole else ()
+        return len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload, found), "ok", *content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +240,8 @@ def decode(df: DataFrame, id_column: str = "doc_id", media_column: str = "media"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(columns, fields))], names=[id_column, *(n for n, _ in fields)])
 
     worker.small_batches(df.sparkSession)
-    schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in fields)
+    names = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+    schema = ", ".join(f"{n} {names.get(t, 'array<struct<stream: int, packet: int, start: double, end: double>>')}" for n, t in fields)
     return df.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, {schema}")
 
 
