@@ -167,7 +167,7 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "top_effects": lambda t: rounded(stats.top_effects(stats.eta_squared(stats.group_sums(t.layer))).select("factor", "metric", "eta2")),
     "entropy_unique_rate": lambda t: rounded(stats.entropy_and_unique(t.layer)),
     "lag1_autocorrelation": lambda t: rounded(provenance.lag1(stats.long_values(t.layer, ["city", "ts", "record_id"]), [])),
-    "permutation_eta_small": lambda t: rounded(stats.permutation_eta(t.marked, "city", 5, 0, True, ["road_incidents", "temperature_c"])),
+    "permutation_eta_small": lambda t: rounded(stats.permutation_eta(t.marked, "city", 5, 0, True)),
     "bootstrap_mean_small": lambda t: rounded(stats.bootstrap_mean(stats.long_values(t.layer, ["record_id"]), ["metric"], 5)),
     "pairwise_differences": lambda t: rounded(stats.pairwise_differences(t.layer, "city")),
     "scenario_summary": lambda t: rounded(scenarios.scenario_summary(scenarios.scenario_values(t.layer))),

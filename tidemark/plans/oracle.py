@@ -80,7 +80,7 @@ daily AS (
     min(6 + extract(MONTH FROM o.o_orderdate) + (CAST(round(o.o_totalprice * 100) AS BIGINT) % 97) / CAST(10 AS DOUBLE)) AS t_min,
     max(30 + extract(MONTH FROM o.o_orderdate) + (CAST(round(o.o_totalprice * 100) AS BIGINT) % 113) / CAST(10 AS DOUBLE)) AS t_max
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE o.o_orderkey % 3 = 0 GROUP BY r.r_name, CAST(o.o_orderdate AS DATE)),
+  GROUP BY r.r_name, CAST(o.o_orderdate AS DATE)),
 bench AS (SELECT city, min(t_min) AS low, arg_min(obs_date, (t_min, obs_date)) AS low_date, max(t_max) AS high, arg_min(obs_date, (-t_max, obs_date)) AS high_date FROM daily GROUP BY city),
 env AS (SELECT city, CAST(month(obs_date) AS BIGINT) AS month, min(t_min) AS low, max(t_max) AS high FROM daily GROUP BY ALL),
 nb AS (SELECT record_id, lag(temperature_c) OVER w AS prev_c, lead(temperature_c) OVER w AS next_c FROM can WHERE temperature_c IS NOT NULL WINDOW w AS (PARTITION BY city ORDER BY ts, record_id)),
@@ -249,7 +249,7 @@ SQL: dict[str, str] = {
     "permutation_eta_small": q("""SELECT metric, round(max(eta2), 6) AS eta2, round((count(*) FILTER (drawn >= eta2 - 1e-15) + 1) / 6.0, 6) AS p FROM (
   SELECT t.metric, CASE WHEN ss - s * s / n <= 0 THEN 0.0 ELSE (b0 - s * s / n) / (ss - s * s / n) END AS eta2, CASE WHEN ss - s * s / n <= 0 THEN 0.0 ELSE (bb.b - s * s / n) / (ss - s * s / n) END AS drawn
   FROM (SELECT metric, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS b0 FROM gs GROUP BY metric) t JOIN bb ON bb.metric = t.metric) GROUP BY metric""",
-        "pl AS (SELECT record_id, city AS level, metric, value FROM lp WHERE city IS NOT NULL AND metric IN ('road_incidents', 'temperature_c'))", f"gs AS (SELECT metric, level, {_SUMS} FROM pl GROUP BY ALL)",
+        "pl AS (SELECT record_id, city AS level, metric, value FROM lp WHERE city IS NOT NULL)", f"gs AS (SELECT metric, level, {_SUMS} FROM pl GROUP BY ALL)",
         "sp AS (SELECT metric, level, n, sum(n) OVER (PARTITION BY metric ORDER BY level ROWS UNBOUNDED PRECEDING) AS hi FROM gs)",
         "pp AS (SELECT metric, rep, value, row_number() OVER (PARTITION BY metric, rep ORDER BY md5('0|' || rep || '|' || metric || '|' || record_id), record_id) AS pos FROM pl CROSS JOIN (SELECT unnest(range(1, 6)) AS rep))",
         "dd AS (SELECT pp.metric, rep, sp.level, sum(value) AS s, max(sp.n) AS k FROM pp JOIN sp ON sp.metric = pp.metric AND pos <= hi AND pos > hi - sp.n GROUP BY ALL)", "bb AS (SELECT metric, rep, sum(s * s / k) AS b FROM dd GROUP BY ALL)"),
