@@ -345,37 +345,51 @@ def components(links: DataFrame) -> DataFrame:
     of the graph.
     """
     edges = saved(links.filter("a <> b").select("a", "b").unionByName(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    labels = saved(nodes.select("node", F.col("node").alias("component")))
+    labels = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
-        hooks = saved(edges.groupBy("a").agg(F.min("b").alias("to"), F.count("*").alias("k")))
+        hooks = saved(edges.groupBy("a").agg(F.min("b").alias("to")))
         if not hooks.take(1):
             break
         back = hooks.select(F.col("a").alias("to"), F.col("to").alias("back"))
-        # a node may be the least neighbour of any number of others
-        aimed = heavy(saved(hooks.groupBy("to").agg(F.count("*").alias("k"))), "to", "k")
-        roots = saved(spread_join(hooks.select("a", "to"), back, "to", F.col("a"), aimed).select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to")).alias("to")))
+        first = (F.col("back") == F.col("a")) & (F.col("a") < F.col("to"))
+        roots = saved(narrow_join(hooks, back, "to").select("a", F.when(first, F.col("a")).otherwise(F.col("to")).alias("to")))
         while True:
             beyond = roots.select(F.col("a").alias("to"), F.col("to").alias("next"))
             moved = Observation()
-            halved = spread_join(roots, beyond, "to", F.col("a"), aimed).select("a", F.col("to").alias("old"), F.col("next").alias("to"))
-            roots = saved(halved.observe(moved, F.count_if(F.col("old") != F.col("to")).alias("n"))).select("a", "to")
+            halved = narrow_join(roots, beyond, "to").select("a", F.col("to").alias("old"), F.col("next").alias("to"))
+            last, roots = roots, saved(halved.observe(moved, F.count_if(F.col("old") != F.col("to")).alias("n"))).select("a", "to")
+            drop(last)
             if not moved.get["n"]:
                 break
-            # a root may have any number of nodes below it
-            aimed = heavy(saved(roots.groupBy("to").agg(F.count("*").alias("k"))), "to", "k")
-        below = saved(labels.groupBy("component").agg(F.count("*").alias("k")))
-        named = roots.select(F.col("a").alias("component"), "to")
-        labels = saved(spread_join(labels, named, "component", F.col("node"), heavy(below, "component", "k"), "left").select("node", F.coalesce("to", "component").alias("component")))
-        degrees = heavy(hooks.select("a", "k"), "a", "k")
-        half = spread_join(edges, roots, "a", F.col("b"), degrees).select("b", F.col("to").alias("x"))
-        turned = heavy(hooks.select(F.col("a").alias("b"), "k"), "b", "k")
-        both = spread_join(half, roots.select(F.col("a").alias("b"), "to"), "b", F.col("x"), turned)
-        last, edges = edges, saved(both.filter("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct())
+        named = roots.select(F.col("a").alias("component"), F.col("to").alias("root"))
+        last, labels = labels, saved(narrow_join(labels, named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         drop(last)
+        half = narrow_join(edges, roots, "a").select("b", F.col("to").alias("x"))
+        both = narrow_join(half, roots.select(F.col("a").alias("b"), "to"), "b")
+        last, edges = edges, saved(both.filter("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct())
+        drop(last, hooks, roots)
     # a root is any of its component's nodes: name it by the smallest
-    low = saved(labels.groupBy("component").agg(F.min("node").alias("low"), F.count("*").alias("k")))
-    return spread_join(labels, low.select("component", "low"), "component", F.col("node"), heavy(low, "component", "k")).select("node", F.col("low").alias("component"))
+    low = labels.groupBy("component").agg(F.min("node").alias("low"))
+    return narrow_join(labels, low, "component").select("node", F.col("low").alias("component"))
+
+
+def narrow_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows of two numbers joined with one row per key.  A key with so many rows
+    that their 16 bytes each make a partition too large is split by Spark."""
+    return rows.join(small.hint("merge"), key, how)
+
+
+def joined_components(components_of: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) of links, with `more` links (a, b)."""
+    named = more
+    for end in ("a", "b"):
+        label = components_of.select(F.col("node").alias(end), F.col("component").alias(f"{end}_"))
+        named = narrow_join(named, label, end, "left").withColumn(f"{end}_", F.coalesce(f"{end}_", end))
+    above = saved(components(saved(named.select(F.col("a_").alias("a"), F.col("b_").alias("b")))))
+    # a node that has no link but those is its own component so far
+    alone = above.join(components_of.select("node").hint("merge"), "node", "left_anti")
+    lifted = narrow_join(components_of, above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return lifted.select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -402,9 +416,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     drop(involved)
     compared = saved(compare_with_leaders(pairs, texts, percent, width))
     links = saved(compared.filter(f"shared >= 0 AND 100 * shared >= {percent} * (n + n_leader - shared)").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    rest = saved(compare_rest(compared, saved(components(links)), texts, percent, width))
+    found = saved(components(links))
+    rest = saved(compare_rest(compared, found, texts, percent, width))
     drop(pairs, texts, compared)
-    found = saved(components(links.unionByName(rest)))
+    if rest.take(1):
+        found = saved(joined_components(found, rest))
     drop(links, rest)
     named = classes.select("grp", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("grp", F.coalesce("component", "rep").alias("component_id"))
     sizes = saved(rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("k")))
