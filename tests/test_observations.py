@@ -99,13 +99,68 @@ def test_neighbours_cross_chunks(spark):
     rng = np.random.default_rng(1)
     values = [(int(c), int(t), float(k)) for k, (c, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 50, 200)))]
     rows = spark.createDataFrame(values, "c int, t int, v double")
-    got = {r["v"]: (r["prev"] and r["prev"]["v"], r["next"] and r["next"]["v"]) for r in neighbours(rows, "c", F.expr("t div 7"), ["t", "v"], ["v"]).collect()}
+    got = {r["v"]: (r["prev"] and r["prev"]["v"], r["next"] and r["next"]["v"]) for r in neighbours(rows, "c", ["t", "v"], ["v"]).collect()}
     for c in range(3):
         line = [v for _, t, v in sorted((x for x in values if x[0] == c), key=lambda x: (x[1], x[2]))]
         for k, v in enumerate(line):
             assert got[v] == (line[k - 1] if k else None, line[k + 1] if k + 1 < len(line) else None)
 
 
+def test_neighbours_of_one_key_over_many_ranges(spark):
+    """Nearly all rows have one key: they are spread over ranges of like size."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    table = pd.DataFrame({"c": np.where(np.arange(20000) % 100 == 7, "rare", "hot"), "t": rng.integers(0, 5000, 20000), "v": np.arange(20000.0)})
+    rows = spark.createDataFrame(table)
+    got = neighbours(rows, "c", ["t", "v"], ["v"]).select("v", F.col("prev.v").alias("prev"), F.col("next.v").alias("next")).toPandas().sort_values("v")
+    line = table.sort_values(["c", "t", "v"])
+    line["prev"], line["next"] = line.groupby("c")["v"].shift(1), line.groupby("c")["v"].shift(-1)
+    line = line.sort_values("v")
+    assert np.array_equal(got["prev"], line["prev"], equal_nan=True) and np.array_equal(got["next"], line["next"], equal_nan=True)
+
+
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+
+
+@pytest.fixture
+def ranges(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    many_ranges(spark)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_ranks_of_a_heavy_key_over_many_ranges(spark, ranges):
+    import pandas as pd
+
+    from tidemark.functions.ranks import dealt
+
+    rng = np.random.default_rng(11)
+    table = pd.DataFrame({"m": np.where(np.arange(60000) < 59000, "hot", "rare"), "v": rng.normal(size=60000).round(3)})
+    counts = spark.createDataFrame(table).groupBy("m", "v").agg(F.count("*").alias("n"))
+    got = average_ranks(counts, ["m"], "v").toPandas().set_index(["m", "v"])["rank"]
+    assert np.allclose(table.groupby("m")["v"].rank(), [got[key] for key in zip(table["m"], table["v"])])
+    sizes = [r["count"] for r in dealt(spark.createDataFrame(table), "m", "v").groupBy("__range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * np.mean(sizes)
+
+
+def test_quantiles_equal_percentile(spark, ranges):
+    from tidemark.functions.ranks import quantiles
+
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(None if k % 9 == 0 else f"g{k % 4}", float(v)) for k, v in enumerate(rng.integers(0, 500, 3000))] + [("one", 5.0)], "g string, v double")
+    fractions = [0.0, 0.25, 0.333, 0.5, 0.995, 1.0]
+    got = {r["g"]: r["q"] for r in quantiles(rows.groupBy("g", "v").agg(F.count("*").alias("n")), ["g"], "v", fractions).collect()}
+    for r in rows.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, fractions))).alias("q")).collect():
+        assert np.allclose(r["q"], got[r["g"]])
+    whole = quantiles(rows.groupBy("v").agg(F.count("*").alias("n")), [], "v", [0.5]).collect()
+    assert [r["q"][0] for r in whole] == [rows.agg(F.median("v")).first()[0]]
+
+
 def test_positions(spark):
     rows = spark.range(100).withColumn("g", F.col("id") % 3).withColumn("v", (F.col("id") * 37) % 101)
     for g, part in positions(rows, ["g"], F.expr("v div 10"), ["v"], "p").toPandas().groupby("g"):
@@ -141,6 +196,21 @@ def test_correlations_against_numpy(spark):
     assert stats.pearson_pairs(layer, pairs=[("traffic_volume", "citizen_complaints")]).first()["r"] == 0.0
 
 
+def test_gram_sums_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    data = [[None if rng.random() < 0.2 else float(rng.integers(0, 50)) for _ in METRICS] for _ in range(200)]
+    rows = spark.createDataFrame([("a" if k % 3 else None, *r) for k, r in enumerate(data)], "g string, " + ", ".join(f"{m} double" for m in METRICS)).repartition(5)
+    got = {(r["g"], r["x"], r["y"]): (r["n"], r["r"]) for r in stats.gram(rows, ["g"]).select("g", "x", "y", "n", stats.gram_correlation().alias("r")).collect()}
+    assert len(got) == 72
+    for g, keep in (("a", [k for k in range(200) if k % 3]), (None, list(range(0, 200, 3)))):
+        table = np.array([[np.nan if v is None else v for v in data[k]] for k in keep])
+        for (h, x, y), (n, r) in got.items():
+            if h == g:
+                a, b = table[:, METRICS.index(x)], table[:, METRICS.index(y)]
+                both = ~np.isnan(a) & ~np.isnan(b)
+                assert n == both.sum() and abs(r - np.corrcoef(a[both], b[both])[0, 1]) < 1e-9
+
+
 def test_eta_squared(spark):
     for cities, expected in (("aabb", 1.0), ("abab", 0.0)):
         layer = canon(spark, [{"city": c, "traffic_volume": v} for c, v in zip(cities, (1, 1, 3, 3))])

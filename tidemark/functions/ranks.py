@@ -1,4 +1,9 @@
-"""Ranks and neighbours without sorting a whole group in one task."""
+"""Ranks, quantiles and neighbours without sorting a whole group in one task.
+
+Rows are cut into ranges of like size by a sample of them, across all groups
+together, so a group is cut into as many ranges as its share of the rows asks
+for.  Only ranges are sorted; a row per group and range says what comes before.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,58 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .saved import saved
+
+
+def dealt(df: DataFrame, *order: str) -> DataFrame:
+    """df in ranges of the order, numbered by `__range` upwards.  Spark's range
+    partitioner samples the rows for the edges; rows equal in the order share a
+    range.  The table is written, since another run could sample other edges."""
+    return saved(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, of which null equals null."""
+    renamed = right.select(*(F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(renamed, same, how).drop(*(f"__k_{k}" for k in keys))
+
+
+def cumulative(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+    """counts (keys, value, n), one row per value, with `upto`, the sum of n up
+    to the value, and `total`, that of the key."""
+    cut = dealt(counts, *keys, value)
+    sums = cut.groupBy(*keys, "__range").agg(F.sum(n).alias("__sum"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each key and range
+    starts = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), F.sum("__sum").over(every).alias("total"))
+    within = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = matched(cut.withColumn("__within", F.sum(n).over(within)), starts, [*keys, "__range"])
+    return placed.withColumn("upto", F.col("__start") + F.col("__within")).drop("__range", "__within", "__start")
+
+
+def quantiles(counts: DataFrame, keys: list[str], value: str, fractions: list[float], n: str = "n", name: str = "q") -> DataFrame:
+    """(keys, q): exact quantiles of every key as an array, linear between two
+    values, from counts (keys, value, n) with one row per value.  Nulls must be
+    left out before."""
+    run = cumulative(counts, keys, value, n)
+    start, end = F.col("upto") - F.col(n), F.col("upto")
+    places = [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
+    holds = lambda place: (start <= place) & (place < end)
+    wanted = F.lit(False)
+    for place in places:
+        wanted = wanted | holds(F.floor(place)) | holds(F.ceil(place))
+    ends = []
+    for k, place in enumerate(places):
+        ends += [F.max(F.when(holds(F.floor(place)), F.col(value).cast("double"))).alias(f"__low{k}"), F.max(F.when(holds(F.ceil(place)), F.col(value).cast("double"))).alias(f"__high{k}"), F.max(place - F.floor(place)).alias(f"__part{k}")]
+    # a few rows of each key are left
+    one = run.filter(wanted).groupBy(*keys).agg(*ends)
+    made = [F.when(F.col(f"__part{k}") == 0, F.col(f"__low{k}")).otherwise((1 - F.col(f"__part{k}")) * F.col(f"__low{k}") + F.col(f"__part{k}") * F.col(f"__high{k}")) for k in range(len(fractions))]
+    return one.select(*keys, F.array(*made).alias(name))
+
 
 def positions(df: DataFrame, keys: list[str], coarse: Column, order: list, name: str) -> DataFrame:
     """Adds a gapless rank from 1 within keys, ordered by (coarse, order).
@@ -56,24 +113,23 @@ def in_blocks(blocks: list[tuple[int, int]], make: Callable[[int, int], DataFram
 def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
     """Average ranks of distinct values with their counts: ties share a rank.
     Works on (keys, value, n), so its size is that of the distinct values."""
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("rank", F.sum(n).over(upto) - F.col(n) + (F.col(n) + 1) / 2.0)
+    return cumulative(counts, keys, value, n).withColumn("rank", F.col("upto") - F.col(n) + (F.col(n) + 1) / 2.0).drop("upto", "total")
 
 
-def neighbours(df: DataFrame, key: str, chunk: Column, order: list[str], values: list[str]) -> DataFrame:
+def neighbours(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """Adds prev and next, structs of `values` of the rows before and after in
     the order within key, null at the ends.
 
-    Only chunks are sorted; a chunk's ends look across by the first and last
-    rows of the chunks beside it, one row per chunk.  chunk must be monotone in
-    the order.
+    Only ranges are sorted; the ends of a range look across by the first and
+    last rows of the key's ranges beside it, whatever ranges lie between, a row
+    for each key and range.  The order must tell rows apart.
     """
-    cut = df.withColumn("__chunk", chunk).withColumn("__value", F.struct(*values))
+    cut = dealt(df.withColumn("__value", F.struct(*values)), key, *order)
     place = F.struct(*order)
-    w = Window.partitionBy(key, "__chunk").orderBy(*order)
+    w = Window.partitionBy(key, "__range").orderBy(*order)
     near = cut.withColumn("prev", F.lag("__value").over(w)).withColumn("next", F.lead("__value").over(w))
-    ends = cut.groupBy(key, "__chunk").agg(F.min_by("__value", place).alias("first"), F.max_by("__value", place).alias("last"))
-    by_chunk = Window.partitionBy(key).orderBy("__chunk")
-    ends = ends.select(key, "__chunk", F.lag("last").over(by_chunk).alias("__before"), F.lead("first").over(by_chunk).alias("__after"))
-    joined = near.join(ends, [key, "__chunk"])
-    return joined.withColumn("prev", F.coalesce("prev", "__before")).withColumn("next", F.coalesce("next", "__after")).drop("__chunk", "__value", "__before", "__after")
+    ends = cut.groupBy(key, "__range").agg(F.min_by("__value", place).alias("first"), F.max_by("__value", place).alias("last"))
+    by_range = Window.partitionBy(key).orderBy("__range")
+    ends = ends.select(key, "__range", F.lag("last").over(by_range).alias("__before"), F.lead("first").over(by_range).alias("__after"))
+    joined = matched(near, ends, [key, "__range"])
+    return joined.withColumn("prev", F.coalesce("prev", "__before")).withColumn("next", F.coalesce("next", "__after")).drop("__range", "__value", "__before", "__after")

@@ -46,7 +46,7 @@ def neighbour_validation(layer: DataFrame, daily: DataFrame, tolerance: float =
     temperature, in order of (ts, record_id).
     """
     known = layer.filter("temperature_c IS NOT NULL").select("record_id", "city", "ts", "temperature_c")
-    near = neighbours(known, "city", F.date_format("ts", "yyyy-MM"), ["ts", "record_id"], ["temperature_c"])
+    near = neighbours(known, "city", ["ts", "record_id"], ["temperature_c"])
     near = near.select("record_id", F.col("prev.temperature_c").alias("prev_c"), F.col("next.temperature_c").alias("next_c"))
     t = F.col("temperature_c")
     envelope = month_envelope(daily)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import correlation, masked
-from ..schema import METRICS, PAIRS
+from ..functions.expressions import masked
+from ..schema import METRICS
+from .stats import gram, gram_correlation
 
 SCENARIOS = ("primary_observed", "flagged_values_included", "city_month_median_imputed")
 #: The fields that imputation fills and the gate on skewness.
@@ -38,14 +39,7 @@ def scenario_summary(values: DataFrame) -> DataFrame:
 
 def scenario_correlations(values: DataFrame) -> DataFrame:
     """Pearson r of 36 pairs in each scenario, by the scenario's own values."""
-    aggregates = []
-    for k, (x, y) in enumerate(PAIRS):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-        aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.count(a).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy")).alias(f"p{k}"))
-    one = values.groupBy("scenario").agg(*aggregates)
-    each = one.select("scenario", F.explode(F.array(*(f"p{k}" for k in range(len(PAIRS))))).alias("p")).select("scenario", "p.*")
-    return each.select("scenario", "x", "y", "n", F.when(F.col("n") >= 4, correlation(F.col("c"), F.col("vx"), F.col("vy"))).alias("r"))
+    return gram(values, ["scenario"]).select("scenario", "x", "y", "n", gram_correlation().alias("r"))
 
 
 def imputation_methods(layer: DataFrame) -> DataFrame:

@@ -7,11 +7,16 @@ from MD5 of (seed, replicate, id), so results don't depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import correlation, correlation_p, fisher_bounds, masked, uniform32
-from ..functions.ranks import average_ranks, in_blocks, positions, replicate_blocks
+from ..functions.ranks import average_ranks, in_blocks, matched, positions, quantiles, replicate_blocks
+from ..functions.saved import saved
 from ..schema import ALPHA, ETA_GATE, FACTORS, METRICS, PAIRS, RHO_GATE, UNKNOWN, Z99
 
 _ONE = 1 << 32
@@ -24,18 +29,22 @@ def long_values(layer: DataFrame, ids: list[str], probable: bool = False, metric
     return layer.select(*ids, F.explode(each).alias("x")).select(*ids, "x.metric", "x.value").filter("value IS NOT NULL")
 
 
-def _summary(value: Column) -> list[Column]:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("q")]
-
-
-def _open(df: DataFrame) -> DataFrame:
-    return df.withColumn("q1", F.col("q")[0]).withColumn("median", F.col("q")[1]).withColumn("q3", F.col("q")[2]).drop("q")
+def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """n, mean, sd, extremes and quartiles (linear) of (keys, value), from the
+    counts of distinct values; deviations are taken from the mean."""
+    counts = saved(rows.groupBy(*keys, "value").agg(F.count("*").alias("k")))
+    v, k = F.col("value"), F.col("k")
+    one = saved(counts.groupBy(*keys).agg(F.sum("k").alias("n"), (F.sum(k * v) / F.sum(k)).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")))
+    # a row for each group, next to the counts of its values
+    spread = matched(counts, one.select(*keys, "n", "mean"), keys).groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(k * (v - F.col("mean")) * (v - F.col("mean"))), F.max("n") - 1)).alias("sd"))
+    q = quantiles(counts, keys, "value", [0.25, 0.5, 0.75], "k")
+    out = matched(matched(one, spread, keys), q, keys)
+    return out.select(*keys, "n", "mean", "sd", "least", "most", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def metric_summary(layer: DataFrame) -> DataFrame:
     """n, mean, sd, extremes and quartiles (linear) of each metric."""
-    return _open(long_values(layer, []).groupBy("metric").agg(*_summary(F.col("value"))))
+    return summary(long_values(layer, []), ["metric"])
 
 
 def descriptive_summary(layer: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def descriptive_summary(layer: DataFrame) -> DataFrame:
         F.struct(F.lit("month").alias("dimension"), F.col("month").cast("string").alias("member")), F.struct(F.lit("hour").alias("dimension"), F.col("hour_label").alias("member")), F.struct(F.lit("weekday").alias("dimension"), F.col("weekday").cast("string").alias("member")),
     )
     rows = long_values(view, ["city", "zone", "month", "hour_label", "weekday"])
-    return _open(rows.select("metric", "value", F.explode(dims).alias("d")).groupBy("d.dimension", "d.member", "metric").agg(*_summary(F.col("value"))))
+    return summary(rows.select("metric", "value", F.explode(dims).alias("d")).select("d.dimension", "d.member", "metric", "value"), ["dimension", "member", "metric"])
 
 
 def group_extremes(summary: DataFrame) -> DataFrame:
@@ -57,19 +66,55 @@ def group_extremes(summary: DataFrame) -> DataFrame:
     )
 
 
+def gram(values: DataFrame, keys: list[str] = [], metrics: list[str] = METRICS) -> DataFrame:
+    """(keys, x, y, n, sx, sy, sxx, syy, sxy) of every pair of metrics over the
+    rows where both are there: tasks multiply matrices of values and of their
+    presence, and their products are added up.  Values are doubles, or null."""
+    kinds = [f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys]
+    pairs = [(i, j) for i in range(len(metrics)) for j in range(i + 1, len(metrics))]
+    first, second = (np.array([p[k] for p in pairs]) for k in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            v = np.stack([batch.column(len(keys) + k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in range(len(metrics))])
+            have = ~np.isnan(v)
+            v, members = np.where(have, v, 0.0), list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))))) or [()] * batch.num_rows
+            for member in dict.fromkeys(members):
+                own = np.array([m == member for m in members]) if keys else slice(None)
+                x, there = v[:, own], have[:, own].astype(float)
+                n, s, q, c = there @ there.T, x @ there.T, (x * x) @ there.T, x @ x.T
+                made = np.stack([n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], c[first, second]])
+                total[member] = total[member] + made if member in total else made
+        for member, made in total.items():
+            columns = [pa.array([part] * len(pairs), values_schema[k]) for k, part in enumerate(member)] + [pa.array([metrics[i] for i in first]), pa.array([metrics[j] for j in second]), pa.array(made[0].astype(np.int64)), *(pa.array(row) for row in made[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "x", "y", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    values_schema = [to_arrow_type(values.schema[k].dataType) for k in keys]
+    parts = values.select(*keys, *metrics).mapInArrow(run, ", ".join([*kinds, "x string, y string, n bigint", *(f"{c} double" for c in ("sx", "sy", "sxx", "syy", "sxy"))]))
+    return parts.groupBy(*keys, "x", "y").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+
+
+def gram_correlation() -> Column:
+    """Pearson r of a row of `gram`; null below four rows."""
+    n = F.col("n")
+    spread = lambda a, b, ab: F.col(ab) / n - F.col(a) / n * (F.col(b) / n)
+    # what rounding leaves of no variance is none
+    flat = lambda a, aa: F.when(spread(a, a, aa) > 1e-13 * F.col(aa) / n, spread(a, a, aa)).otherwise(F.lit(0.0))
+    return F.when(n >= 4, correlation(spread("sx", "sy", "sxy"), flat("sx", "sxx"), flat("sy", "syy")))
+
+
 def pearson_pairs(layer: DataFrame, probable: bool = False, pairs: list[tuple[str, str]] = PAIRS, keys: list[str] = []) -> DataFrame:
     """(x, y, n, r) of pairs of metrics over rows where both are valid: one
     aggregation of one scan."""
     mark = F.col("probable_error") if probable else None
-    aggregates = []
-    for k, (x, y) in enumerate(pairs):
-        a, b = masked(x, mark), masked(y, mark)
-        both = a.isNotNull() & b.isNotNull()
-        a, b = F.when(both, a), F.when(both, b)
-        aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.count(a).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy")).alias(f"p{k}"))
-    one = (layer.groupBy(*keys) if keys else layer).agg(*aggregates)
-    each = one.select(*keys, F.explode(F.array(*(f"p{k}" for k in range(len(pairs))))).alias("p")).select(*keys, "p.*")
-    return each.select(*keys, "x", "y", "n", F.when(F.col("n") >= 4, correlation(F.col("c"), F.col("vx"), F.col("vy"))).alias("r"))
+    found = gram(layer.select(*keys, *(masked(m, mark).alias(m) for m in METRICS)), keys).select(*keys, "x", "y", "n", gram_correlation().alias("r"))
+    # pairs are named as asked, whatever the order of the metrics
+    named = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.array_sort(F.array(F.lit(x), F.lit(y))).alias("both")) for x, y in pairs))
+    wanted = F.filter(named, lambda p: p["both"] == F.array_sort(F.array("x", "y")))
+    return found.withColumn("p", F.explode(wanted)).select(*keys, "p.x", "p.y", "n", "r")
 
 
 def _pair_values(layer: DataFrame, pairs: list[tuple[str, str]], probable: bool) -> DataFrame:
@@ -89,16 +134,20 @@ def _weighted_r(joint: DataFrame, keys: list[str]) -> DataFrame:
 
 def spearman_pairs(layer: DataFrame, probable: bool = False, pairs: list[tuple[str, str]] = PAIRS) -> DataFrame:
     """(x, y, n, r): rank correlation, ranked anew within each pair's rows."""
-    joint = _pair_values(layer, pairs, probable)
-    ra = average_ranks(joint.groupBy("x", "y", "a").agg(F.sum("n").alias("n")), ["x", "y"], "a").select("x", "y", "a", F.col("rank").alias("ra"))
-    rb = average_ranks(joint.groupBy("x", "y", "b").agg(F.sum("n").alias("n")), ["x", "y"], "b").select("x", "y", "b", F.col("rank").alias("rb"))
-    return _weighted_r(joint.join(ra, ["x", "y", "a"]).join(rb, ["x", "y", "b"]), ["x", "y"])
+    joint = saved(_pair_values(layer, pairs, probable))
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("value")), F.struct(F.lit("b").alias("side"), F.col("b").alias("value"))))
+    counts = joint.select("x", "y", "n", sides.alias("s")).groupBy("x", "y", "s.side", "s.value").agg(F.sum("n").alias("n"))
+    ranks = average_ranks(counts, ["x", "y", "side"], "value")
+    for side in ("a", "b"):
+        own = ranks.filter(F.col("side") == side).select("x", "y", F.col("value").alias(side), F.col("rank").alias(f"r{side}"))
+        joint = joint.join(own, ["x", "y", side])
+    return _weighted_r(joint, ["x", "y"])
 
 
 def field_rank_pairs(layer: DataFrame, probable: bool = False) -> DataFrame:
     """(x, y, n, r): ranks of each metric over all its values, then correlated
     over the pair's rows."""
-    joint = _pair_values(layer, PAIRS, probable)
+    joint = saved(_pair_values(layer, PAIRS, probable))
     ranks = average_ranks(long_values(layer, [], probable).groupBy("metric", "value").agg(F.count("*").alias("n")), ["metric"], "value").select("metric", "value", "rank")
     rx = ranks.select(F.col("metric").alias("x"), F.col("value").alias("a"), F.col("rank").alias("ra"))
     ry = ranks.select(F.col("metric").alias("y"), F.col("value").alias("b"), F.col("rank").alias("rb"))

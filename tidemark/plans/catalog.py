@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.saved import saved
 from ..operators import api, audit, governance, layers, models, plausibility, provenance, quality, resample, scenarios, stats
 from ..schema import ALPHA, METRICS
 from ..sources.observations import daily_benchmarks, observations, table, upsert
@@ -49,9 +50,9 @@ class Tables:
 
     @cached_property
     def marked(self) -> DataFrame:
-        """Kept while a query lives: its plan has two joins and a window, and
-        the queries that use it do so many times."""
-        return plausibility.with_probable_errors(self.layer, self.validation).persist()
+        """Written: its plan has two joins and windows, and the queries that use
+        it do so many times."""
+        return saved(plausibility.with_probable_errors(self.layer, self.validation))
 
 
 def dashboard_city_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
