@@ -257,7 +257,107 @@ def test_refresh_is_versioned(spark, tmp_path):
     sources.refresh({"raw": spark.range(2).toDF("x")}, path, "v1")
     sources.refresh({"raw": spark.range(3).toDF("x")}, path, "v2")
     assert sources.current(spark, path, "raw").count() == 3
-    assert sources.fingerprint(spark, path + "/v1/raw/*.parquet").filter("length(sha256) = 64").count() > 0
+    assert sources.fingerprint(spark, path + "/data/*/raw/*.parquet").filter("length(sha256) = 64").count() > 0
+
+
+class Killed(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("step", ["second layer", "before the manifest", "empty manifest", "torn manifest"])
+def test_a_writer_that_dies_leaves_the_last_refresh(spark, tmp_path, monkeypatch, step):
+    from tidemark.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    one, two = {n: spark.range(2).toDF("x") for n in ("raw", "clean")}, {n: spark.range(5).toDF("x") for n in ("raw", "clean")}
+    store.refresh(one, "v1")
+    with monkeypatch.context() as patched:
+        real_write, real_create, real_fill = store.write, store.create, store.fill
+
+        def write(df, below):
+            if step == "second layer" and below.endswith("clean"):
+                raise Killed
+            real_write(df, below)
+
+        def create(number):
+            if step == "before the manifest":
+                raise Killed
+            return real_create(number)
+
+        def fill(stream, text):
+            if step == "empty manifest":
+                stream.close()
+                raise Killed
+            if step == "torn manifest":
+                real_fill(stream, text[: len(text) // 2])
+                raise Killed
+            real_fill(stream, text)
+
+        for name, made in (("write", write), ("create", create), ("fill", fill)):
+            patched.setattr(store, name, made)
+        with pytest.raises(Killed):
+            store.refresh(two, "v2")
+    assert store.current()["label"] == "v1" and store.layer("raw").count() == store.layer("clean").count() == 2
+    assert store.recover() and store.layer("clean").count() == 2
+    left = {d.name for d in (tmp_path / "store" / "data").iterdir()}
+    assert left == {p.split("/")[1] for p in store.current()["layers"].values()}
+    store.refresh(two, "v3")
+    assert store.current()["label"] == "v3" and store.layer("raw").count() == 5
+
+
+def test_a_reader_in_a_loop_never_fails(spark, tmp_path):
+    import threading
+
+    from tidemark.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.refresh({"a": spark.range(1).toDF("x"), "b": spark.range(1).toDF("x")}, "0")
+    stop, seen, failed = threading.Event(), [], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                manifest = store.current()
+                pair = (store.layer("a", manifest).count(), store.layer("b", manifest).count())
+                seen.append(pair)
+                assert pair[0] == pair[1]
+            except Exception as error:  # the test reports it
+                failed.append(error)
+                return
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 5):
+        store.refresh({n: spark.range(k + 1).toDF("x") for n in ("a", "b")}, str(k))
+    stop.set()
+    reader.join()
+    assert not failed and seen and store.layer("a").count() == 5
+
+
+def test_two_writers_of_one_number(spark, tmp_path):
+    from tidemark.sources.store import Store
+
+    store, other = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    first = store.create(1)
+    assert first is not None and other.create(1) is None
+    assert other.publish("later", {})["number"] == 2
+    store.fill(first, '{"number": 1, "label": "earlier", "layers": {}}\nend\n')
+    assert store.current()["label"] == "later"
+
+
+def test_fingerprint_of_a_file_beyond_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    name = tmp_path / "large file.bin"
+    with name.open("wb") as out:
+        out.truncate((2 << 30) + 12345)  # sparse
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["bytes"], r["sha256"]) for r in sources.fingerprint(spark, str(tmp_path)).collect()}
+    expected = hashlib.sha256()
+    for _ in range(2 << 10):
+        expected.update(bytes(1 << 20))
+    expected.update(bytes(12345))
+    assert got == {"large file.bin": ((2 << 30) + 12345, expected.hexdigest()), "small.bin": (3, hashlib.sha256(b"abc").hexdigest())}
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import positions
 from ..schema import SOURCE_COLUMNS, SOURCE_SCHEMA
+from .store import Store
 
 
 class ContractError(ValueError):
@@ -33,9 +40,34 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return check_header(spark.read.parquet(path)).na.drop("all")
 
 
+#: Bytes of a file that a task holds at once.
+PIECE = 1 << 20
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of every file: tasks feed the hash from a stream,
+    piece by piece, so no file is a value and none is too long.  Only names and
+    lengths come from the listing.  Streams are opened by Arrow, which knows
+    local files, HDFS and the usual object stores."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [digest_of(name) for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["path", "bytes", "sha256"])
+
+    # a listing of many files is one small partition, their contents are not
+    return files.repartition("path").mapInArrow(run, "path string, bytes bigint, sha256 string")
+
+
+def digest_of(name: str) -> str:
+    """SHA-256 of a file by its URI."""
+    system, path = fs.FileSystem.from_uri(quote(name.replace("file:///", "file:/").replace("file:/", "file:///"), safe=":/%?=&@") if "://" not in name or name.startswith("file:") else name)
+    made = hashlib.sha256()
+    with system.open_input_stream(path, buffer_size=0) as stream:
+        while piece := stream.read(PIECE):
+            made.update(piece)
+    return made.hexdigest()
 
 
 def readings_from_json(df: DataFrame, column: str, sentinel: float = -900.0) -> DataFrame:
@@ -51,17 +83,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def refresh(layers: dict[str, DataFrame], path: str, version: str) -> None:
-    """All layers of a version below path/version; the pointer file is written
-    last, so readers never see a version in part."""
-    spark = next(iter(layers.values())).sparkSession
-    for name, df in layers.items():
-        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    """All layers of a version, published at once: see `store.Store`."""
+    Store(next(iter(layers.values())).sparkSession, path).refresh(layers, version)
 
 
 def current(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/current").first()["version"]
-    return spark.read.parquet(f"{path}/{version}/{layer}")
+    return Store(spark, path).layer(layer)
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
