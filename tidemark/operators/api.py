@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import valid
@@ -41,6 +41,37 @@ def filtered(layer: DataFrame, choice: Selection) -> DataFrame:
     return rows.filter("eligible") if choice.primary_only else rows
 
 
+def bound(spark: SparkSession, text: str, parameters: dict[str, object] | None = None, **views: DataFrame) -> DataFrame:
+    """SQL over the named views, `{view}` in the text, with `:parameter`s as
+    bound literals: whatever a value holds, it is data."""
+    return spark.sql(text, args=parameters or None, **views)
+
+
+def in_list(column: str, members, parameters: dict[str, object]) -> str:
+    """An IN list of bound parameters, added to `parameters`; true for no
+    members.  It reaches the scan as a filter, as literals do."""
+    names = []
+    for member in members:
+        name = f"p{len(parameters)}"
+        parameters[name] = member
+        names.append(f":{name}")
+    return f"{column} IN ({', '.join(names)})" if names else "true"
+
+
+def filtered_sql(layer: DataFrame, choice: Selection) -> DataFrame:
+    """`filtered` as SQL with bound parameters."""
+    held: dict[str, object] = {}
+    tests = [in_list(column, members, held) for column, members in (("city", choice.cities), ("zone", choice.zones), ("hour", choice.hours))]
+    for operator, day in ((">=", choice.start), ("<=", choice.end)):
+        if day:
+            name = f"p{len(held)}"
+            held[name] = day
+            tests.append(f"observation_date {operator} CAST(:{name} AS DATE)")
+    if choice.primary_only:
+        tests.append("eligible")
+    return bound(layer.sparkSession, f"SELECT * FROM {{rows}} WHERE {' AND '.join(tests)}", held, rows=frame(layer))
+
+
 def options(layer: DataFrame) -> DataFrame:
     """(option, value): distinct cities, zones and hours, and the date range."""
     rows = frame(layer)
@@ -83,8 +114,12 @@ def display(value, digits: int = 2):
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
-    text = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    """A small result as a Markdown table; a last line says how many rows
+    beyond `limit` are left out."""
+    rows = df.limit(limit + 1).collect()
+    text = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in rows])
+    lines += ["| " + " | ".join(map(text, r)) + " |" for r in rows[:limit]]
+    if len(rows) > limit:
+        lines += ["", f"{df.count() - limit} more rows are not shown."]
+    return "\n".join(lines)

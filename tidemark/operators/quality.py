@@ -88,6 +88,22 @@ def flag_summary(flags: DataFrame) -> DataFrame:
     return flags.groupBy("flag_type", "field_name").agg(F.count("*").alias("flags"))
 
 
+def flag_delta(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(flag_type, field_name, flags): by how much a refresh changes the
+    summary; only the rows that come and go are read."""
+    keys = ["flag_type", "field_name"]
+    signed = removed.select(*keys, F.lit(-1).alias("sign")).unionByName(added.select(*keys, F.lit(1).alias("sign")))
+    return signed.groupBy(*keys).agg(F.sum("sign").alias("flags")).filter("flags <> 0")
+
+
+def with_delta(summary: DataFrame, delta: DataFrame) -> DataFrame:
+    """A summary (flag_type, field_name, flags) after the delta: what a
+    summary of all flags anew would be."""
+    keys = ["flag_type", "field_name"]
+    both = summary.select(*keys, "flags").unionByName(delta.select(*keys, "flags"))
+    return both.groupBy(*keys).agg(F.sum("flags").alias("flags")).filter("flags <> 0")
+
+
 def change_log(layer: DataFrame, duplicates: DataFrame) -> DataFrame:
     """What the canonical layer changed: zone spellings and removed copies."""
     spelled = quality_flags(layer).filter("flag_type = 'corrected'").select("record_id", "source_row_number", "field_name", "raw_value", "cleaned_value", F.lit("canonicalized").alias("change_type"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import masked
-from ..schema import METRICS
-from .stats import gram, gram_correlation
+from ..schema import ALPHA, METRICS
+from .stats import gram, gram_correlation, holm, with_inference
 
 SCENARIOS = ("primary_observed", "flagged_values_included", "city_month_median_imputed")
 #: The fields that imputation fills and the gate on skewness.
@@ -42,6 +42,11 @@ def scenario_correlations(values: DataFrame) -> DataFrame:
     return gram(values, ["scenario"]).select("scenario", "x", "y", "n", gram_correlation().alias("r"))
 
 
+def scenario_inference(values: DataFrame) -> DataFrame:
+    """The same with the 99 per cent interval, p and Holm's p within a scenario."""
+    return holm(with_inference(scenario_correlations(values)), ["scenario"], ["x", "y"]).withColumn("significant", F.col("p_holm") < ALPHA)
+
+
 def imputation_methods(layer: DataFrame) -> DataFrame:
     """How each field would be filled: the mean where its adjusted skewness is
     within SKEW_GATE, else the median; the most frequent zone, ties to the

@@ -47,15 +47,28 @@ def metric_summary(layer: DataFrame) -> DataFrame:
     return summary(long_values(layer, []), ["metric"])
 
 
-def descriptive_summary(layer: DataFrame) -> DataFrame:
-    """The same over six dimensions: overall, city, zone, month, hour, weekday."""
+def dimension_values(layer: DataFrame) -> DataFrame:
+    """(dimension, member, metric, value) over six dimensions: overall, city,
+    zone, month, hour, weekday."""
     view = layer.withColumn("zone", F.coalesce("zone", F.lit(UNKNOWN))).withColumn("hour_label", F.format_string("%02d:00", F.col("hour")))
     dims = F.array(
         F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("member")), F.struct(F.lit("city").alias("dimension"), F.col("city").alias("member")), F.struct(F.lit("zone").alias("dimension"), F.col("zone").alias("member")),
         F.struct(F.lit("month").alias("dimension"), F.col("month").cast("string").alias("member")), F.struct(F.lit("hour").alias("dimension"), F.col("hour_label").alias("member")), F.struct(F.lit("weekday").alias("dimension"), F.col("weekday").cast("string").alias("member")),
     )
     rows = long_values(view, ["city", "zone", "month", "hour_label", "weekday"])
-    return summary(rows.select("metric", "value", F.explode(dims).alias("d")).select("d.dimension", "d.member", "metric", "value"), ["dimension", "member", "metric"])
+    return rows.select("metric", "value", F.explode(dims).alias("d")).select("d.dimension", "d.member", "metric", "value")
+
+
+def descriptive_summary(layer: DataFrame) -> DataFrame:
+    """The summary of every member of the six dimensions."""
+    return summary(dimension_values(layer), ["dimension", "member", "metric"])
+
+
+def descriptive_intervals(layer: DataFrame, replicates: int = 3000, seed: int = 0) -> DataFrame:
+    """Means of every member of the six dimensions with their bootstrap intervals."""
+    from .resample import bootstrap_means
+
+    return bootstrap_means(dimension_values(layer), ["dimension", "member", "metric"], replicates, seed)
 
 
 def group_extremes(summary: DataFrame) -> DataFrame:

@@ -7,16 +7,18 @@ distributed sum is not fixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.saved import saved
+from ..functions.saved import saved, scratch
 from ..operators import api, audit, governance, layers, models, plausibility, provenance, quality, resample, scenarios, stats
 from ..schema import ALPHA, METRICS
 from ..sources.observations import daily_benchmarks, observations, table, upsert
+from ..sources.store import Store
 from ..streaming.refresh import slot_counts
 
 #: Replicates of the registered resampling queries (fixed values: those of the
@@ -77,6 +79,10 @@ def _canonical(t: Tables) -> DataFrame:
     return _text(layers.check_timestamps(t.layer), "observation_date", ts="ts")
 
 
+def _imputed(t: Tables) -> DataFrame:
+    return scenarios.imputed_layer(t.marked, scenarios.imputation_methods(t.marked))
+
+
 def _gates(t: Tables) -> DataFrame:
     return rounded(stats.hypothesis_gates(t.marked))
 
@@ -84,7 +90,10 @@ def _gates(t: Tables) -> DataFrame:
 def _appended(t: Tables) -> DataFrame:
     flags = quality.quality_flags(t.layer)
     new = t.validation.filter("decision = 'probable_error'").select("record_id", F.lit("temperature_c").alias("field_name"), F.lit("outlier").alias("flag_type"), F.lit("probable error").alias("effect"))
-    return plausibility.append_flags(plausibility.append_flags(flags, new), new)
+    outside = quality.benchmark_flags(plausibility.benchmark_check(t.layer, t.daily))
+    for more in (new, outside, new, outside):  # again changes nothing
+        flags = plausibility.append_flags(flags, more)
+    return flags
 
 
 def _flags_after_imputation(t: Tables) -> DataFrame:
@@ -97,12 +106,50 @@ def _flags_after_imputation(t: Tables) -> DataFrame:
     return flags.groupBy("field_name", "flag_type", "reason").agg(F.count("*").alias("flags"))
 
 
+def _run_twice(t: Tables) -> Store:
+    """A store with two runs: over the tables, and after a row was appended."""
+    store = Store(t.raw.sparkSession, scratch(t.raw.sparkSession, "store-"))
+    decided = quality.decisions(t.layer, t.log)
+    governance.record_run(store, {"raw": t.raw, "canonical": t.layer, "decisions": decided.filter("observed_count > 0")})
+    raw = t.raw.unionByName(_new_row(t))
+    governance.record_run(store, {"raw": raw, "canonical": layers.canonical(layers.dedup_exact(raw))}, ("models",))
+    return store
+
+
 def _latest_contracts(t: Tables) -> DataFrame:
-    """Contracts with a change of status, and the latest of two runs of each."""
-    spark = t.raw.sparkSession
-    changed = governance.set_status(governance.contracts(spark), [("models", "completed")])
-    runs = changed.select("contract_key", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
-    return changed.join(governance.latest(runs, ["run"], ["contract_key"]), "contract_key")
+    """Contracts with their status, and the latest run of the stage they rest on."""
+    return governance.current_contracts(_run_twice(t))
+
+
+def _latest_run(t: Tables) -> DataFrame:
+    """The latest run by a scalar subquery with a bound parameter."""
+    store = _run_twice(t)
+    text = "SELECT stage, run, rows FROM {runs} WHERE run = (SELECT max(run) FROM {runs} WHERE stage = :stage)"
+    return api.bound(store.spark, text, {"stage": "canonical"}, runs=store.layer("runs"))
+
+
+def _registry(t: Tables, table: DataFrame, key: str) -> DataFrame:
+    entries = governance.registry_conditions()
+    return governance.usable_rows(table, key, t.layer, entries)
+
+
+def _refreshed_summary(t: Tables) -> DataFrame:
+    """The flag summary upkept over two refreshes of the imputed flags: all of
+    them, and once more without those of the zone."""
+    events = scenarios.imputation_events(t.marked, scenarios.imputation_methods(t.marked))
+    new, fewer = quality.imputed_flags(events), quality.imputed_flags(events.filter("field <> 'zone'"))
+    kept = quality.flag_summary(quality.quality_flags(t.layer))
+    once = quality.with_delta(kept, quality.flag_delta(new.limit(0), new))
+    return quality.with_delta(once, quality.flag_delta(new, fewer))
+
+
+def _flags(t: Tables) -> DataFrame:
+    """All flags; numbers stand as numbers beside texts, since engines print them differently."""
+    flags = quality.quality_flags(t.layer)
+    for side in ("raw", "cleaned"):
+        number = F.expr(f"try_cast({side}_value AS DOUBLE)")
+        flags = flags.withColumn(f"{side}_number", number).withColumn(f"{side}_value", F.when(number.isNull(), F.col(f"{side}_value")))
+    return flags
 
 
 def _pair_inference(t: Tables) -> DataFrame:
@@ -111,9 +158,12 @@ def _pair_inference(t: Tables) -> DataFrame:
     return rounded(stats.holm(both[0].unionByName(both[1]), ["method"], ["x", "y"]).withColumn("significant", F.col("p_holm") < ALPHA))
 
 
+def _new_row(t: Tables) -> DataFrame:
+    return t.raw.sparkSession.range(1).select(F.lit(1 << 40).alias("source_row_number"), F.lit("NEW000000001").alias("record_id"), F.lit("ASIA").alias("city"), F.lit("Central").alias("zone"), F.lit("2026-01-03 00:00:00").alias("timestamp_text"), *(F.lit(1).cast(t.raw.schema[m].dataType).alias(m) for m in METRICS))
+
+
 def _append_one(t: Tables) -> DataFrame:
-    one = t.raw.sparkSession.range(1).select(F.lit(1 << 40).alias("source_row_number"), F.lit("NEW000000001").alias("record_id"), F.lit("ASIA").alias("city"), F.lit("Central").alias("zone"), F.lit("2026-01-03 00:00:00").alias("timestamp_text"), *(F.lit(1).cast(t.raw.schema[m].dataType).alias(m) for m in METRICS))
-    raw = t.raw.unionByName(one)
+    raw = t.raw.unionByName(_new_row(t))
     return raw.agg(F.count("*").alias("raw_rows")).crossJoin(layers.canonical(layers.dedup_exact(raw)).agg(F.count("*").alias("canonical_rows")))  # one row each
 
 
@@ -136,7 +186,7 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "completeness": lambda t: rounded(audit.completeness(t.layer)),
     "kpis": lambda t: audit.kpis(t.raw, t.layer),
     "integrity": lambda t: audit.integrity(t.layer),
-    "quality_flags": lambda t: quality.quality_flags(t.layer).select("record_id", "source_row_number", "field_name", "flag_type", *(F.when(F.col("flag_type") == "corrected", F.col(c)).alias(c) for c in ("raw_value", "cleaned_value"))),
+    "quality_flags": _flags,
     "quality_flag_summary": lambda t: quality.flag_summary(quality.quality_flags(t.layer)),
     "quality_issues": lambda t: quality.quality_issues(t.layer).drop("source_row_number").withColumn("raw_number", F.expr("try_cast(raw_value AS DOUBLE)")).withColumn("raw_value", F.when(F.col("raw_number").isNull(), F.col("raw_value"))),
     "row_status": lambda t: quality.row_status(t.layer),
@@ -147,8 +197,16 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "benchmark_flags": lambda t: quality.benchmark_flags(plausibility.benchmark_check(t.layer, t.daily)),
     "latest_contracts": lambda t: _latest_contracts(t),
     "pair_inference": lambda t: _pair_inference(t),
-    "hypothesis_registry": lambda t: governance.registered_hypotheses(t.raw.sparkSession),
-    "model_registry": lambda t: governance.registered_models(t.raw.sparkSession),
+    "hypothesis_registry": lambda t: _registry(t, governance.registered_hypotheses(t.raw.sparkSession), "hypothesis"),
+    "model_registry": lambda t: _registry(t, governance.registered_models(t.raw.sparkSession), "model"),
+    "latest_run": _latest_run,
+    "flag_summary_refreshed": _refreshed_summary,
+    "filtered_sql": lambda t: _text(api.filtered_sql(t.layer, CHOICE), ts="ts").drop("observation_date"),
+    "filtered_primary": lambda t: api.filtered_sql(t.layer, replace(CHOICE, primary_only=True)).select("record_id"),
+    "paired_columns": lambda t: _text(layers.paired(t.layer), "observation_date"),
+    "city_places": lambda t: t.layer.groupBy("city").agg(F.count("*").alias("rows")).join(F.broadcast(governance.coordinates(t.raw.sparkSession)), "city", "left"),
+    "scenario_inference": lambda t: rounded(scenarios.scenario_inference(scenarios.scenario_values(t.layer))),
+    "result_rollups": lambda t: rounded(governance.rollups(_pair_inference(t), rounded(stats.eta_squared(stats.group_sums(t.layer))), rounded(models.baseline_folds(t.marked)))),
     "issue_signals": lambda t: quality.issue_signals(quality.decisions(t.layer, t.log), t.validation),
     "city_benchmark": lambda t: _text(plausibility.city_benchmark(t.daily), "low_date", "high_date"),
     "month_envelope": lambda t: plausibility.month_envelope(t.daily),
@@ -188,7 +246,7 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "flag_semi_join": lambda t: api.flags_of(api.filtered(t.layer, CHOICE), quality.quality_flags(t.layer)),
     "append_one": _append_one,
     "upsert": lambda t: upsert(plausibility.city_benchmark(t.daily).select("city", "low"), t.raw.sparkSession.createDataFrame([("ASIA", -1.0)], "city string, low double"), ["city"]),
-    "registries": lambda t: governance.registries(t.raw.sparkSession),
+    "registries": lambda t: _registry(t, governance.registries(t.raw.sparkSession), "entry"),
     "evidence_rollup": lambda t: governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer)),
     # iterative or simulated, with the method's replicates: no SQL twin.  The
     # two named _small draw by digests, as their SQL does, a few replicates
@@ -201,6 +259,10 @@ _OF_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "relationship_effects": lambda t: rounded(models.relationship_effects(t.marked, BLOCK_BOOTSTRAPS)),
     "group_effects": lambda t: rounded(models.group_effects(t.marked, BLOCK_BOOTSTRAPS)),
     "lagged_forecast": lambda t: rounded(models.lagged_forecast(t.marked, replicates=BLOCK_BOOTSTRAPS)),
+    "descriptive_intervals": lambda t: rounded(stats.descriptive_intervals(t.layer, BLOCK_BOOTSTRAPS)),
+    "imputed_group_tests": lambda t: rounded(stats.group_gates(_imputed(t), PERMUTATIONS)),
+    "imputed_forecast": lambda t: rounded(models.ridge_forecast(_imputed(t))),
+    "fitness_evidence": lambda t: governance.model_evidence(models.ridge_forecast(t.marked), provenance.diagnostics(t.layer, governance.PROVENANCE_PROTOCOL[0][1])),
     "imputed_gates": lambda t: rounded(stats.hypothesis_gates(scenarios.imputed_layer(t.marked, scenarios.imputation_methods(t.marked)))),
     "fitness_decision": lambda t: governance.fitness(governance.evidence(t.layer, t.raw, quality.decisions(t.layer, t.log), stats.hypothesis_table(t.layer))),
 }

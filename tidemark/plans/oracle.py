@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.governance import CONTRACTS, ESTIMANDS, HYPOTHESIS_REGISTRY, MODEL_REGISTRY, PROVENANCE_PROTOCOL
+from ..operators.governance import CONTRACT_STAGES, CONTRACTS, COORDINATES, ESTIMANDS, HYPOTHESIS_REGISTRY, MODEL_REGISTRY, PROVENANCE_PROTOCOL
 from ..operators.quality import DECISION_TEXTS, DECISIONS, EVIDENCE_LINKS
 from ..operators.stats import GATED, HYPOTHESES
 from ..schema import FACTORS, FOLDS, METRICS, PAIRS, SOURCE_COLUMNS
@@ -58,10 +58,10 @@ dl AS (
     CASE WHEN raw.source_row_number = ded.source_row_number THEN 'kept' ELSE 'removed_exact_duplicate' END AS action
   FROM raw JOIN ded ON {" AND ".join(f"raw.{c} IS NOT DISTINCT FROM ded.{c}" for c in SOURCE_COLUMNS)} WHERE ded.grp > 1),
 fl AS (
-  SELECT record_id, source_row_number, 'zone' AS field_name, unnest(['missing', 'unknown']) AS flag_type, CAST(NULL AS VARCHAR) AS raw_value, CAST(NULL AS VARCHAR) AS cleaned_value FROM can WHERE raw_zone IS NULL OR raw_zone = ''
-  UNION ALL SELECT record_id, source_row_number, 'zone', 'corrected', raw_zone, zone FROM can WHERE raw_zone <> '' AND zone IS DISTINCT FROM raw_zone
-  {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'missing', NULL, NULL FROM can WHERE {m} IS NULL" for m in METRICS)}
-  {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'outlier', '-', '-' FROM can WHERE {c}" for m, c in (("avg_speed_kmph", "avg_speed_kmph < 0 OR avg_speed_kmph > 120"), ("parking_occupancy_pct", "parking_occupancy_pct > 100"), ("temperature_c", "temperature_c >= 45"), ("power_outage_minutes", "power_outage_minutes > 60")))}),
+  SELECT record_id, source_row_number, 'zone' AS field_name, unnest(['missing', 'unknown']) AS flag_type, CAST(NULL AS VARCHAR) AS raw_value, CAST(NULL AS VARCHAR) AS cleaned_value, CAST(NULL AS DOUBLE) AS number, 'kept as null' AS effect FROM can WHERE raw_zone IS NULL OR raw_zone = ''
+  UNION ALL SELECT record_id, source_row_number, 'zone', 'corrected', raw_zone, zone, NULL, 'normalised only' FROM can WHERE raw_zone <> '' AND zone IS DISTINCT FROM raw_zone
+  {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'missing', NULL, NULL, NULL, 'left out for this metric' FROM can WHERE {m} IS NULL" for m in METRICS)}
+  {" ".join(f"UNION ALL SELECT record_id, source_row_number, '{m}', 'outlier', NULL, NULL, {m}, '{e}' FROM can WHERE {c}" for m, c, e in (("avg_speed_kmph", "avg_speed_kmph < 0 OR avg_speed_kmph > 120", "left out of speed analysis"), ("parking_occupancy_pct", "parking_occupancy_pct > 100", "kept"), ("temperature_c", "temperature_c >= 45", "kept"), ("power_outage_minutes", "power_outage_minutes > 60", "kept")))}),
 iss AS (
   SELECT record_id, 'zone' AS column_name, 'missing' AS issue_type, CAST(NULL AS VARCHAR) AS raw_value, CAST(NULL AS DOUBLE) AS raw_number, CAST(NULL AS VARCHAR) AS suggested_value, 'preserve_missing' AS treatment, true AS needs_owner, 'medium' AS severity FROM can WHERE raw_zone IS NULL OR raw_zone = ''
   UNION ALL SELECT record_id, 'zone', 'case_variant', raw_zone, NULL, zone, 'canonicalize_case_only', false, 'low' FROM can WHERE raw_zone <> '' AND zone IS DISTINCT FROM raw_zone
@@ -193,6 +193,12 @@ def _poisson(u: str) -> str:
     return "(" + " + ".join(f"({u} >= {b})::INT" for b in bounds) + ")"
 
 
+_SCENARIO_PAIRS = " UNION ALL ".join(f"SELECT scenario, '{x}' AS x, '{y}' AS y, {x} AS a, {y} AS b FROM sv WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in PAIRS)
+_PAIR_ROWS = {"H1": ("traffic_volume", "avg_speed_kmph"), "H2": ("road_incidents", "waterlogging_reports"), "H3": ("temperature_c", "power_outage_minutes")}
+_PLACE_ROWS = {"H4_city": "city IS NOT NULL", "H4_zone": "zone IS NOT NULL", "H5": "city IS NOT NULL AND ts IS NOT NULL", "M1_city_zone_continuous": "city IS NOT NULL AND zone IS NOT NULL", "M2_city_zone_counts": "city IS NOT NULL AND zone IS NOT NULL", "M6_repeated_time_dependence": "ts IS NOT NULL", "M7_forecasting": "city IS NOT NULL AND ts IS NOT NULL", "P1": "true"}
+_ENTRIES = {h: f"{_masked(x)} IS NOT NULL AND {_masked(y)} IS NOT NULL" for h, (x, y) in _PAIR_ROWS.items()}
+_ENTRIES |= {m: _ENTRIES[h] for m, h in (("M3_relationship_traffic_speed", "H1"), ("M4_relationship_incidents_waterlogging", "H2"), ("M5_relationship_temperature_outage", "H3"))} | _PLACE_ROWS
+_USABLE = "us AS (" + " UNION ALL ".join(f"SELECT '{e}' AS entry, count(*) FILTER ({c}) AS rows FROM can" for e, c in _ENTRIES.items()) + ")"
 _CHOICE = "city IN ('ASIA', 'EUROPE') AND hour IN (0, 8, 16) AND observation_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
 _FR = "fr AS (SELECT record_id, city, coalesce(zone, 'Unknown') AS zone, ts, observation_date, hour, weekday, month, " + _MET + ", eligible FROM can)"
 _UNPIVOT = " UNION ALL ".join(f"SELECT scenario, '{m}' AS metric, {m} AS value FROM sv WHERE {m} IS NOT NULL" for m in METRICS)
@@ -215,7 +221,7 @@ SQL: dict[str, str] = {
     "completeness": q(" UNION ALL ".join(f"SELECT '{m}' AS field, count({m}) AS observed, count(*) - count({m}) AS missing, round(100.0 * count({m}) / count(*), 6) AS complete_pct FROM can" for m in METRICS)),
     "kpis": q("SELECT (SELECT count(*) FROM raw) AS raw_rows, count(*) AS canonical_rows, count(DISTINCT ts) AS timestamps, count(*) FILTER (eligible) AS eligible_rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, (SELECT count(*) FROM raw) - count(*) AS duplicate_rows FROM can"),
     "integrity": q("SELECT unnest(['repeated_ids', 'null_ids', 'null_cities', 'null_timestamps', 'eligible_but_invalid']) AS \"check\", unnest([(SELECT count(*) FROM (SELECT record_id FROM can GROUP BY ALL HAVING count(*) > 1)), (SELECT count(*) FROM can WHERE record_id IS NULL), (SELECT count(*) FROM can WHERE city IS NULL), (SELECT count(*) FROM can WHERE ts IS NULL), 0]) AS broken"),
-    "quality_flags": q("SELECT record_id, source_row_number, field_name, flag_type, CASE WHEN flag_type = 'corrected' THEN raw_value END AS raw_value, CASE WHEN flag_type = 'corrected' THEN cleaned_value END AS cleaned_value FROM fl"),
+    "quality_flags": q("SELECT record_id, source_row_number, field_name, flag_type, raw_value, cleaned_value, number AS raw_number, number AS cleaned_number, effect FROM fl"),
     "quality_flag_summary": q("SELECT flag_type, field_name, count(*) AS flags FROM fl GROUP BY ALL"),
     "quality_issues": q("SELECT * FROM iss"),
     "row_status": q("SELECT can.record_id, count(fl.record_id) AS issue_count, CASE WHEN count(fl.record_id) > 0 THEN 'flagged' ELSE 'observed' END AS quality_status FROM can LEFT JOIN fl ON fl.record_id = can.record_id GROUP BY can.record_id"),
@@ -230,8 +236,9 @@ SQL: dict[str, str] = {
     "benchmark_check": q("SELECT can.record_id, can.city, can.temperature_c, bench.low, bench.high, CASE WHEN bench.city IS NULL THEN 'unknown_city' WHEN temperature_c IS NULL THEN 'missing' WHEN temperature_c < low THEN 'below' WHEN temperature_c > high THEN 'above' ELSE 'within' END AS status FROM can LEFT JOIN bench ON bench.city = can.city"),
     "neighbour_validation": q("SELECT * FROM nv"),
     "decision_counts": q("SELECT plausibility, neighbour_status, decision, count(*) AS rows FROM nv GROUP BY ALL"),
-    "flags_appended": q("""SELECT * FROM (SELECT record_id, field_name, flag_type, CASE WHEN flag_type IN ('missing', 'unknown') AND field_name = 'zone' THEN 'kept as null' WHEN flag_type = 'corrected' THEN 'normalised only' WHEN flag_type = 'missing' THEN 'left out for this metric' WHEN field_name = 'avg_speed_kmph' THEN 'left out of speed analysis' ELSE 'kept' END AS effect FROM fl
-  UNION ALL SELECT record_id, 'temperature_c', 'outlier', 'probable error' FROM nv WHERE decision = 'probable_error')"""),
+    "flags_appended": q("""SELECT record_id, field_name, flag_type, effect FROM fl
+  UNION ALL SELECT record_id, 'temperature_c', 'outlier', 'probable error' FROM nv WHERE decision = 'probable_error'
+  UNION ALL SELECT can.record_id, 'temperature_c', 'outlier', 'kept, not interpreted' FROM can JOIN bench ON bench.city = can.city WHERE can.temperature_c < bench.low OR can.temperature_c > bench.high"""),
     "metric_summary": q(f"SELECT metric, {_STATS} FROM lv GROUP BY metric"),
     "descriptive_summary": q(f"SELECT dimension, member, metric, {_STATS} FROM (SELECT 'overall' AS dimension, 'all' AS member, metric, value FROM lv UNION ALL SELECT 'city', city, metric, value FROM lv UNION ALL SELECT 'zone', coalesce(zone, '[UNKNOWN]'), metric, value FROM lv UNION ALL SELECT 'month', CAST(month AS VARCHAR), metric, value FROM lv UNION ALL SELECT 'hour', lpad(CAST(hour AS VARCHAR), 2, '0') || ':00', metric, value FROM lv UNION ALL SELECT 'weekday', CAST(weekday AS VARCHAR), metric, value FROM lv) GROUP BY ALL"),
     "group_extremes": q("SELECT dimension, metric, arg_min(member, (-mean, member)) AS highest_group, max(mean) AS highest, arg_min(member, (mean, member)) AS lowest_group, min(mean) AS lowest, round(max(mean) - min(mean), 6) AS spread FROM de GROUP BY ALL",
@@ -263,9 +270,11 @@ SQL: dict[str, str] = {
     "imputed_flags": q("SELECT field_name, flag_type, reason, count(*) AS flags FROM (SELECT field_name, flag_type, CAST(NULL AS VARCHAR) AS reason FROM fl" + "".join(f" UNION ALL SELECT '{c}', 'imputed', 'imputed for sensitivity: ' || mt.method || ' of {c}' FROM pe JOIN mt ON mt.field = '{c}' WHERE pe.{c} IS NULL" for c in ("zone", *_IMPUTED)) + ") GROUP BY ALL", *_methods()),
     "benchmark_flags": q("SELECT can.record_id, 'temperature_c' AS field_name, 'outlier' AS flag_type, 'outside the benchmark range of its city' AS reason, 'kept, not interpreted' AS effect FROM can JOIN bench ON bench.city = can.city WHERE can.temperature_c < bench.low OR can.temperature_c > bench.high"),
     "evidence_links": q("SELECT l.*, dec.observed_count FROM (VALUES " + ", ".join(_row(*e) for e in EVIDENCE_LINKS) + ") l(decision_key, source, role, confirmation_status) JOIN dec ON dec.decision_key = l.decision_key WHERE dec.observed_count > 0"),
-    "latest_contracts": "SELECT contract_key, area, CASE WHEN contract_key = 'models' THEN 'completed' ELSE status END AS status, CAST(2 AS INT) AS run FROM (VALUES " + ", ".join(_row(*c) for c in CONTRACTS) + ") v(contract_key, area, status)",
-    "hypothesis_registry": "SELECT * FROM (VALUES " + ", ".join(_row(*h, ESTIMANDS[h[1]], "registered") for h in HYPOTHESIS_REGISTRY) + ") v(hypothesis, family, expected, practical_gate, alpha, estimand, status)",
-    "model_registry": "SELECT * FROM (VALUES " + ", ".join(_row(*m, "registered") for m in MODEL_REGISTRY) + ") v(model, family, terms, status)",
+    "latest_contracts": q("SELECT contract_key, area, CASE WHEN contract_key = 'models' THEN 'completed' ELSE status END AS status, stage, CAST(CASE WHEN stage = 'decisions' THEN 1 ELSE 2 END AS INT) AS run, CAST(CASE stage WHEN 'decisions' THEN (SELECT count(*) FROM dec WHERE observed_count > 0) WHEN 'raw' THEN (SELECT count(*) + 1 FROM raw) ELSE (SELECT count(*) + 1 FROM can) END AS BIGINT) AS rows FROM (VALUES "
+        + ", ".join(_row(*c, CONTRACT_STAGES[c[0]]) for c in CONTRACTS) + ") v(contract_key, area, status, stage)"),
+    "latest_run": q("SELECT 'raw' AS stage, CAST(2 AS INT) AS run, count(*) + 1 AS rows FROM raw UNION ALL SELECT 'canonical', 2, count(*) + 1 FROM can"),
+    "hypothesis_registry": q("SELECT v.*, u.rows FROM (VALUES " + ", ".join(_row(*h, ESTIMANDS[h[1]], "registered") for h in HYPOTHESIS_REGISTRY) + ") v(hypothesis, family, expected, practical_gate, alpha, estimand, status) JOIN us u ON u.entry = v.hypothesis", _USABLE),
+    "model_registry": q("SELECT v.*, u.rows FROM (VALUES " + ", ".join(_row(*m, "registered") for m in MODEL_REGISTRY) + ") v(model, family, terms, status) JOIN us u ON u.entry = v.model", _USABLE),
     "pair_inference": q(
         "SELECT x, y, n, round(r, 6) AS r, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, method, round(p_holm, 6) AS p_holm, p_holm < 0.01 AS significant FROM i3", *_pv("can", False),
         f"i0 AS (SELECT 'pearson' AS method, x, y, count(*) AS n, {_R} AS r FROM pv GROUP BY x, y UNION ALL SELECT 'spearman', x, y, count(*), {_R} FROM rk GROUP BY x, y)",
@@ -287,7 +296,11 @@ SQL: dict[str, str] = {
     "flag_semi_join": q(f"SELECT flag_type, field_name, count(*) AS flags FROM fl WHERE record_id IN (SELECT record_id FROM fr WHERE {_CHOICE}) GROUP BY ALL", _FR),
     "append_one": q("SELECT count(*) AS raw_rows, count(DISTINCT record_id) AS canonical_rows FROM (SELECT record_id FROM raw UNION ALL SELECT 'NEW000000001')"),
     "upsert": q("SELECT 'ASIA' AS city, -1.0 AS low UNION ALL SELECT city, low FROM bench WHERE city <> 'ASIA'"),
-    "registries": "SELECT * FROM (VALUES " + ", ".join([f"('hypothesis', '{h[0]}', '{h[1]}')" for h in HYPOTHESIS_REGISTRY] + [f"('model', '{m[0]}', '{m[1]}')" for m in MODEL_REGISTRY] + [f"('provenance', '{p[0]}', 'permutation')" for p in PROVENANCE_PROTOCOL]) + ") v(registry, entry, kind)",
+    "registries": q("SELECT v.*, u.rows FROM (VALUES " + ", ".join([f"('hypothesis', '{h[0]}', '{h[1]}')" for h in HYPOTHESIS_REGISTRY] + [f"('model', '{m[0]}', '{m[1]}')" for m in MODEL_REGISTRY] + [f"('provenance', '{p[0]}', 'permutation')" for p in PROVENANCE_PROTOCOL]) + ") v(registry, entry, kind) JOIN us u ON u.entry = v.entry", _USABLE),
+    "filtered_primary": q(f"SELECT record_id FROM fr WHERE eligible AND {_CHOICE}", _FR),
+    "flag_summary_refreshed": q("SELECT flag_type, field_name, count(*) AS flags FROM (SELECT flag_type, field_name FROM fl" + "".join(f" UNION ALL SELECT 'imputed', '{c}' FROM pe WHERE {c} IS NULL" for c in _IMPUTED) + ") GROUP BY ALL"),
+    "paired_columns": q("SELECT record_id, source_row_number, city AS raw_city, city AS cleaned_city, raw_zone, zone AS cleaned_zone, raw_timestamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS cleaned_timestamp_iso, CAST(observation_date AS VARCHAR) AS observation_date, hour, weekday, month, " + ", ".join(f"{m} AS raw_{m}, {m} AS cleaned_{m}" for m in METRICS) + ", eligible::INT AS primary_analysis_eligible FROM can"),
+    "city_places": q("SELECT c.city, rows, latitude, longitude FROM (SELECT city, count(*) AS rows FROM can GROUP BY city) c LEFT JOIN (VALUES " + ", ".join(_row(*c) for c in COORDINATES) + ") v(city, latitude, longitude) ON v.city = c.city"),
     "evidence_rollup": q("""SELECT item, CAST(value AS BIGINT) AS value FROM (
   SELECT 'canonical_rows' AS item, count(*) AS value FROM can UNION ALL SELECT 'eligible_rows', count(*) FILTER (eligible) FROM can UNION ALL SELECT 'ineligible_rows', count(*) FILTER (NOT eligible) FROM can
   UNION ALL SELECT 'raw_rows', count(*) FROM raw UNION ALL SELECT 'distinct_ids', count(DISTINCT record_id) FROM raw
@@ -295,5 +308,17 @@ SQL: dict[str, str] = {
   UNION ALL SELECT 'unknown_items', coalesce(sum(observed_count), 0) FROM dec WHERE decision_class = 'unknown' UNION ALL SELECT 'hypotheses', count(*) FROM t4 UNION ALL SELECT 'hypotheses_significant', count(*) FILTER (p_holm < 0.01) FROM t4)""", *_tests(HYPOTHESES, False)),
     "slot_counts": "SELECT strftime(time_bucket(INTERVAL 4 HOUR, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS slot_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
 }
+SQL["filtered_sql"] = SQL["filtered_rows"]
+SQL["scenario_inference"] = q(
+    "SELECT scenario, x, y, n, round(r, 6) AS r, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, round(p_holm, 6) AS p_holm, p_holm < 0.01 AS significant FROM i3", *_scenarios(),
+    f"i0 AS (SELECT scenario, x, y, count(*) AS n, {_R} AS r FROM ({_SCENARIO_PAIRS}) GROUP BY ALL)",
+    "i1 AS (SELECT *, atanh(greatest(least(r, 0.999999), -0.999999)) AS z FROM i0)",
+    f"i2 AS (SELECT *, tanh(z - 2.5758293035489004 / sqrt(n - 3.0)) AS ci_low, tanh(z + 2.5758293035489004 / sqrt(n - 3.0)) AS ci_high, {_erfc('(abs(z) * sqrt(n - 3.0) / sqrt(2.0))')} AS p FROM i1)",
+    "i3 AS (SELECT *, max(step) OVER (PARTITION BY scenario ORDER BY p, x, y ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY scenario) - row_number() OVER (PARTITION BY scenario ORDER BY p, x, y) + 1) * p) AS step FROM i2))",
+)
+SQL["result_rollups"] = f"""SELECT item, round(value, 6) AS value FROM (
+  SELECT unnest(['max_abs_r', 'mean_abs_r', 'significant_pairs']) AS item, unnest([max(abs(r)), avg(abs(r)), CAST(sum(significant::INT) AS DOUBLE)]) AS value FROM ({SQL["pair_inference"]})
+  UNION ALL SELECT unnest(['max_eta2', 'mean_eta2']), unnest([max(eta2), avg(eta2)]) FROM ({SQL["eta_squared"]})
+  UNION ALL SELECT unnest(['max_mean_baseline_mae', 'mean_baseline_mae']), unnest([max(mae), avg(mae)]) FROM (SELECT avg(baseline_mae) AS mae FROM ({SQL["baseline_folds"]}) GROUP BY metric))"""
 _EVIDENCE = SQL["evidence_rollup"]
 SQL["fitness_decision"] = f"SELECT 'FIT_ONLY_DESCRIPTIVE_REPORTING' AS classification, '{{' || string_agg('\"' || item || '\":' || value, ',' ORDER BY item) || '}}' AS evidence_json FROM ({_EVIDENCE})"
