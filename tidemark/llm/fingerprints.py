@@ -87,7 +87,7 @@ def with_next(rows: DataFrame, value: str, order: list[Column], number: str = "p
     first = near.filter(F.col(number) == 1).select("range", F.col(value).alias("__first"))
     # a row for each range, of which there are some 300,000 at most
     whole = Window.orderBy(F.desc("range"))
-    ends = near.groupBy("range").agg(F.count("*").alias("n")).select("range", F.lead("range").over(whole).alias("then"), F.max("range").over(Window.partitionBy()).alias("top"))
+    ends = rows.select("range").distinct().select("range", F.lead("range").over(whole).alias("then"), F.max("range").over(Window.partitionBy()).alias("top"))
     ends = ends.select(F.col("range").alias("__range"), F.coalesce("then", "top").alias("range")).join(first, "range").select(F.col("__range").alias("range"), "__first")
     return near.join(ends.hint("merge"), "range").withColumn("next", F.when(F.col("__last"), F.col("__first")).otherwise(F.col("__after"))).drop("__after", "__last", "__first")
 
@@ -119,21 +119,23 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     first row after the last.  Rows that share an id follow each other by the
     MD5 of their texts, null ids come last; a single row is its own next.  A
     null text is empty; a text without words has the fingerprint ''.  Ids are
-    integers.  Empty in, empty out.  Other columns take no part, whatever their
+    integers above -2**63, which would be taken for null.  Empty in, empty out.  Other columns take no part, whatever their
     names.  Rows that repeat both id and text lie in one range.
     """
-    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID))).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    # no column beside those that order the texts, so that one exchange serves rows and first rows
+    rows = df.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     placed = with_next(ranged(rows), "text", [F.desc("key"), F.asc("digest")])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    texts = placed.select("range", "place", "id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    texts = placed.select("range", "place", "key", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
     prints = signatures(texts, ["range", "place"], "text", "edited")
-    narrow = texts.select("range", "place", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    whole = narrow.join(prints.hint("merge"), ["range", "place"], "left").select("range", "place", "id", "n_chars", "edited_sha256", F.coalesce("first_print", F.lit("")).alias("fingerprint"), F.coalesce("second_print", F.lit("")).alias("edited_fingerprint"))
+    narrow = texts.select("range", "place", "key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    whole = narrow.join(prints.hint("merge"), ["range", "place"], "left").select("range", "place", "key", "n_chars", "edited_sha256", F.coalesce("first_print", F.lit("")).alias("fingerprint"), F.coalesce("second_print", F.lit("")).alias("edited_fingerprint"))
     found = with_next(saved(whole), "fingerprint", [F.asc("place")], "again")
-    return found.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    own = F.when(F.col("key") != NO_ID, F.col("key")).cast(df.schema[id_column].dataType)
+    return found.select(own.alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
