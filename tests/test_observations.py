@@ -494,17 +494,49 @@ def test_deals_by_counts_and_by_shuffling_agree():
     from itertools import permutations
 
     values, n, sizes = np.array([1.0, 5.0, 9.0]), np.array([3, 2, 2]), np.array([3, 4])
+    between = lambda draw, n, sizes: np.array([(resample.dealt_sums(draw, values, n, sizes) ** 2 / sizes).sum() for _ in range(4000)])
     rows = np.repeat(values, n)
     exact = np.array([(sum(p[:3]) ** 2 / 3 + sum(p[3:]) ** 2 / 4) for p in permutations(rows.tolist())])
-    shuffled = resample.dealt_between(resample.generator(1), values, n, sizes, 4000)
+    shuffled = between(resample.generator(1), n, sizes)
     assert abs(shuffled.mean() - exact.mean()) < 0.05 * exact.std() and abs(shuffled.std() - exact.std()) < 0.05 * exact.std()
     many = n * 200  # now drawn by counts: mean and spread of a deal are known
-    drawn = resample.dealt_between(resample.generator(2), values, many, sizes * 200, 4000)
+    drawn = between(resample.generator(2), many, sizes * 200)
     rows = np.repeat(values, many)
     total, k = len(rows), 600
     spread = rows.var() * total / (total - 1)
-    between = (drawn - rows.sum() ** 2 / total) / spread  # about chi-squared with one degree of freedom
-    assert abs(between.mean() - 1) < 0.1 and abs(between.var() - 2) < 0.5 and k == sizes[0] * 200
+    chi = (drawn - rows.sum() ** 2 / total) / spread  # about chi-squared with one degree of freedom
+    assert abs(chi.mean() - 1) < 0.1 and abs(chi.var() - 2) < 0.5 and k == sizes[0] * 200
+
+
+def test_draws_beyond_a_billion_rows():
+    colors = np.array([3_000_000_000, 5, 2_000_000_000, 1_000_000])
+    drawn = np.array([resample.some_of_each(resample.generator(4, r), colors, 1_000_000_000) for r in range(500)])
+    assert (drawn.sum(axis=1) == 1_000_000_000).all() and (drawn <= colors).all() and (drawn >= 0).all()
+    assert np.allclose(drawn.mean(axis=0)[[0, 2, 3]], (colors / colors.sum() * 1e9)[[0, 2, 3]], rtol=1e-3) and 0.5 < drawn[:, 1].mean() < 1.5
+
+
+def test_shares_of_chunks_fit_together():
+    """All chunks of a replicate deal out every place once, as one deal would."""
+    totals, sizes = np.array([5, 1, 7, 4, 3]), np.array([6, 10, 4])
+    seen = np.zeros((3000, 5, 3))
+    for r in range(3000):
+        seen[r] = [resample.shares(3, ("f", "m"), r, totals, sizes, c) for c in range(5)]
+    assert (seen.sum(axis=2) == totals).all() and (seen.sum(axis=1) == sizes).all()
+    expected = np.outer(totals, sizes) / 20
+    variance = expected * (1 - sizes / 20) * (20 - totals[:, None]) / 19
+    assert np.allclose(seen.mean(axis=0), expected, atol=0.1) and np.allclose(seen.var(axis=0), variance, rtol=0.15)
+
+
+def test_permutation_tests_over_many_chunks(spark, monkeypatch):
+    """Continuous values in many chunks give the p of one chunk, within its error."""
+    rng = np.random.default_rng(10)
+    rows = [{"city": "abc"[k % 3], "temperature_c": float(rng.normal() + 0.25 * (k % 3 == 0)), "record_id": f"R{k:04d}"} for k in range(300)]
+    layer = canon(spark, rows)
+    one = resample.permutation_tests(layer, ["city"], 2000, metrics=["temperature_c"]).first()
+    monkeypatch.setattr(resample, "CHUNK", 11)
+    many = resample.permutation_tests(layer, ["city"], 2000, metrics=["temperature_c"]).first()
+    again = resample.permutation_tests(layer.repartition(9), ["city"], 2000, metrics=["temperature_c"]).first()
+    assert many["p"] == again["p"] and one["eta2"] == pytest.approx(many["eta2"]) == again["eta2"] and abs(one["p"] - many["p"]) < 4 * math.sqrt(one["p"] * (1 - one["p"]) / 1000) + 0.005
 
 
 def test_group_gates_find_a_planted_effect_and_no_other(spark):
@@ -526,22 +558,81 @@ def test_bootstrap_by_counts_holds_the_mean(spark):
     assert row["n"] == 500 and row["mean"] == 4.5 and abs(row["ci_low"] - 4.5 + half) < 0.05 and abs(row["ci_high"] - 4.5 - half) < 0.05
 
 
-def test_simulation_in_tasks_agrees_with_the_joins(spark, monkeypatch):
+def null_fixture(spark):
+    rng = np.random.default_rng(8)
+    rows = [{"city": ["Pune", "Delhi", "Goa"][k % 3], "zone": ["North", "South", ""][k % 7 % 3], "traffic_volume": int(rng.integers(0, 50)), "road_incidents": None if k % 5 == 0 else int(rng.integers(0, 5)), "temperature_c": float(rng.normal()), "timestamp_text": str(dt.datetime(2026, 1, 1) + dt.timedelta(hours=4 * k))} for k in range(150)]
+    return canon(spark, rows + [{"city": "Lonely", "record_id": "L"}])
+
+
+def test_null_is_the_same_for_any_leaves_and_partitions(spark, monkeypatch):
+    """Nothing depends on how rows, values and replicates are cut."""
     from tidemark.operators import provenance
 
-    rng = np.random.default_rng(8)
-    rows = [{"city": ["Pune", "Delhi"][k % 2], "zone": ["North", "South", ""][k % 3], "traffic_volume": int(rng.integers(0, 50)), "road_incidents": int(rng.integers(0, 5)), "timestamp_text": str(dt.datetime(2026, 1, 1) + dt.timedelta(hours=4 * k))} for k in range(60)]
-    values = provenance.observed_values(canon(spark, rows)).persist()
-    key = lambda r: (r["category"], r["variable_x"], r["variable_y"], r["grouping"])
-    inside, joined = {}, {}
-    for r in provenance.simulated(values, 400).collect():
-        inside.setdefault(key(r), []).append(r["value"])
-    for r in provenance._statistics(provenance.permuted(values, 25), ["rep"]).collect():
-        joined.setdefault(key(r), []).append(r["value"])
-    assert len(inside) == 63 and set(joined) <= set(inside)
-    for k, v in joined.items():
-        spread = max(np.std(inside[k]), np.std(v))
-        assert abs(np.mean(v) - np.mean(inside[k])) <= 4 * spread / 5 + 1e-9, k
+    layer = null_fixture(spark)
+    key = lambda r: (r["rep"], r["category"], r["variable_x"], r["variable_y"] or "", r["grouping"] or "")
+
+    def run(layer):
+        return {key(r): r["value"] for r in provenance.simulated(layer, provenance.observed_values(layer), 12).collect()}
+
+    whole = run(layer)
+    assert len(whole) == 12 * 63
+    for name, size in (("LEAF", 17), ("CHUNK", 20), ("BLOCK", 5)):
+        monkeypatch.setattr(provenance, name, size)
+    parts = run(layer.repartition(7))
+    assert parts.keys() == whole.keys() and all(math.isclose(parts[k], whole[k], rel_tol=1e-9, abs_tol=1e-9) for k in whole)
+
+
+def test_null_agrees_with_permutations_by_numpy(spark):
+    """Means and spreads of the replicates against shuffles of the same rows."""
+    import pandas as pd
+
+    from tidemark.operators import provenance
+
+    layer = null_fixture(spark)
+    found = {}
+    for r in provenance.simulated(layer, provenance.observed_values(layer), 1500).collect():
+        found.setdefault((r["category"], r["variable_x"], r["variable_y"], r["grouping"]), []).append(r["value"])
+    table = layer.toPandas().sort_values(["city", "ts", "record_id"]).reset_index(drop=True)
+    rng = np.random.default_rng(3)
+    columns = {m: table[m].astype(float) for m in ("traffic_volume", "road_incidents", "temperature_c")}
+
+    def shuffled(m, ranks):
+        have = columns[m].notna().to_numpy()
+        out = columns[m].copy()
+        out[have] = rng.permutation(columns[m].rank()[have] if ranks else columns[m][have])
+        return out
+
+    drawn = {"pair": [], "eta": [], "lag": []}
+    for _ in range(1500):
+        a, b = shuffled("traffic_volume", True), shuffled("road_incidents", True)
+        both = a.notna() & b.notna()
+        drawn["pair"].append(abs(np.corrcoef(a[both], b[both])[0, 1]))
+        v = shuffled("road_incidents", False)
+        one = pd.DataFrame({"g": table["city"], "v": v}).dropna()
+        centre = one["v"].mean()
+        drawn["eta"].append(sum(len(p) * (p.mean() - centre) ** 2 for _, p in one.groupby("g")["v"]) / ((one["v"] - centre) ** 2).sum())
+        t = shuffled("temperature_c", False)
+        before = t.groupby(table["city"]).shift(1)
+        keep = before.notna() & (table["city"] != "Lonely")
+        drawn["lag"].append(np.corrcoef(before[keep], t[keep])[0, 1])
+    keys = {"pair": ("pairwise_abs_spearman", "traffic_volume", "road_incidents", None), "eta": ("group_alignment_eta_squared", "road_incidents", None, "city"), "lag": ("within_city_lag1_autocorrelation", "temperature_c", None, "city")}
+    for name, key in keys.items():
+        x, y = np.array(found[key]), np.array(drawn[name])
+        assert abs(x.mean() - y.mean()) < 5 * y.std() / math.sqrt(750) and abs(x.std() / y.std() - 1) < 0.1, name
+
+
+def test_dealt_places_are_a_permutation():
+    from tidemark.operators import provenance
+
+    for n in (1, 2, 3, 10, 97, 1000):
+        for r in range(3):
+            assert sorted(provenance.dealt_place(np.arange(n), n, 5, 2, r).tolist()) == list(range(n))
+    # two places go to every pair of places about as often
+    seen = np.zeros((5, 5))
+    for r in range(4000):
+        a, b = provenance.dealt_place(np.arange(2), 5, 1, 0, r)
+        seen[a, b] += 1
+    assert np.trace(seen) == 0 and abs(seen[~np.eye(5, dtype=bool)] / 200 - 1).max() < 0.3
 
 
 def test_block_bootstrap_against_numpy_with_many_replicates(spark):

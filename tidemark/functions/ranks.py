@@ -96,18 +96,12 @@ def replicate_blocks(rows: int, replicates: int) -> list[tuple[int, int]]:
 
 def in_blocks(blocks: list[tuple[int, int]], make: Callable[[int, int], DataFrame]) -> DataFrame:
     """The union of make(first, last), whose rows are few per replicate.  A
-    single block stays lazy; of several each is a job, and its shuffles go
-    before the next."""
-    if len(blocks) == 1:
-        return make(*blocks[0])
-    rows = []
-    for block in blocks:
-        made = make(*block)
-        rows += made.collect()
-        spark, schema = made.sparkSession, made.schema
-        del made
-        spark.sparkContext._jvm.System.gc()
-    return spark.createDataFrame(rows, schema)
+    single block stays lazy; of several each is a job whose rows are written."""
+    made = [make(*block) if len(blocks) == 1 else saved(make(*block)) for block in blocks]
+    out = made[0]
+    for part in made[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
