@@ -267,3 +267,56 @@ def test_fingerprints_of_one_and_of_none(spark):
 def test_fingerprints_run_without_python_workers(spark):
     plan = fingerprints.fingerprints(spark.createDataFrame(FINGER, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# 7 WARC: identifiers, one payload for all rows, damage
+
+
+def test_page_ids_of_any_text_come_back(spark, tmp_path):
+    from tidemark.llm import warc
+
+    ids = [" a ", "b\r\nX-Row: 9", "100%", "é日本", "", "<x>", "a%20b", None]
+    rows = [(i, "u", "z" * 200 if k % 2 else f"page {k} " * 20) for k, i in enumerate(ids)]
+    pages = clashing(spark.createDataFrame(rows, "page_id string, url string, html string"), "row", "payload", "origin", "one", "status", "record_id")
+    warc.write_archives(pages, str(tmp_path / "a"))
+    got = warc.read_archives(spark, str(tmp_path / "a"), payload=False).collect()
+    assert {r["status"] for r in got} == {"ok"} and Counter(r["page_id"] for r in got) == Counter(ids)
+    first = min(i for k, i in enumerate(ids) if k % 2 and i is not None)
+    assert {r["page_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {i: first for k, i in enumerate(ids) if k % 2 and i != first}
+
+
+def test_one_payload_for_all_pages(spark, tmp_path):
+    from tidemark.llm import warc
+
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("same " * 50).alias("html")).repartition(6)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    got = warc.read_archives(spark, str(tmp_path / "a"), payload=False)
+    assert got.groupBy("record_type", "status").count().orderBy("record_type").collect() == [("response", "ok", 1), ("revisit", "ok", 2999)]
+    assert got.filter("refers_to <> '0'").count() == 0 and got.select("page_id").distinct().count() == 3000
+
+
+def test_a_cut_archive_is_told_and_others_are_read(spark, tmp_path):
+    import gzip
+
+    from tidemark.llm import warc
+
+    def page(k):
+        body = f"page {k} ".encode() * 30
+        return b"".join(warc.page_records(k, str(k), None, body, hashlib.sha256(body).hexdigest(), None))
+
+    (tmp_path / "good.warc.gz").write_bytes(gzip.compress(page(1)))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(page(2)) + gzip.compress(page(3))[:-20])
+    (tmp_path / "plain.warc").write_bytes(page(4) + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length")
+    (tmp_path / "noise.warc.gz").write_bytes(b"\x1f\x8bnoise")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert {r["page_id"] for r in rows if r["status"] == "ok"} >= {"1", "2", "4"}
+    damaged = {r["record_id"].rsplit("/", 1)[1] for r in rows if r["record_type"] == "damaged"}
+    assert damaged == {"cut.warc.gz", "plain.warc", "noise.warc.gz"} and all(r["status"].startswith("bad: ") for r in rows if r["record_type"] == "damaged")
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    from tidemark.llm import warc
+
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 0

@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import ship
 from .saved import saved, scratch
+from .spread import heavy, spread_join
 
 ship(__name__)
 
@@ -35,6 +37,11 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
+def encoded(name: str) -> str:
+    """A name as it stands in a header: controls, spaces and % in percent form."""
+    return re.sub(r"[\x00-\x20\x7f%<>]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
 def chunked(payload: bytes) -> bytes:
     parts = []
     for k in range(0, len(payload), CHUNK_BYTES):
@@ -76,14 +83,15 @@ def page_records(row: int, page_id: str | None, url: str | None, payload: bytes,
     """The records of one page: a revisit if `origin` is the id of the page
     that holds its payload.  Identifiers follow from page id and payload; `row`
     tells the segments of repeated rows apart."""
-    own = f"urn:page:{page_id}:{digest}"
+    named = "" if page_id is None else encoded(page_id)
+    own = f"urn:page:{named}:{digest}"
     common = [("WARC-Date", "2026-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Row", str(row))]
     if url is not None:
         common.append(("WARC-Target-URI", _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)))
     if page_id is not None:
-        common.append(("X-Page-ID", page_id))
+        common.append(("X-Page-ID", named))
     if origin is not None:
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{own}:revisit>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{origin}:{digest}>"), *common], _HTTP)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{own}:revisit>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{encoded(origin)}:{digest}>"), *common], _HTTP)]
     block = _HTTP + chunked(payload)
     parts = [block[k : k + SEGMENT_BYTES] for k in range(0, len(block), SEGMENT_BYTES)]
     head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{own}>"), *common]
@@ -106,10 +114,10 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("binary"), F.lit("").cast("binary")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     groups = rows.filter(F.octet_length("payload") >= SHORTEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("one"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select("digest", "one")
+    groups = saved(groups.filter("n > 1"))
     # the row number is only read where it is made, within the one job below;
-    # a payload with very many copies is one skewed key of this join, which AQE splits
-    rows = rows.join(groups, "digest", "left").select("row", F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("one")), F.col("one").cast("string")).alias("origin"))
+    # a payload with very many copies is dealt into parts
+    rows = spread_join(rows, groups.select("digest", "one"), "digest", F.col("row"), heavy(groups, "digest", "n"), "left").select("row", F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("one")), F.col("one").cast("string")).alias("origin"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +169,15 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: end + 4 + size]
 
 
+def readable(name: str, content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive up to where it is damaged, if it is; then one
+    of type `damaged` whose status says what is wrong."""
+    try:
+        yield from records(inflated(content))
+    except (BadRecord, KeyError, ValueError, zlib.error) as error:
+        yield {"warc-type": "damaged", "status": f"bad: {error}"}, b""
+
+
 def inflated(content: bytes) -> Iterator[bytes]:
     """Uncompressed pieces of a file of gzip members, or of a plain file."""
     if content[:2] != b"\x1f\x8b":
@@ -194,10 +211,15 @@ def _finish(block: bytes, digest: str | None) -> tuple[int | None, str | None, s
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """With `payload`, the last column is what the page holds, for revisits
-    that of the record they refer to (the html is its UTF-8 text).  Without it
-    payloads stay in the tasks that check them.  Per page record: record_id, page_id (text), record_type, refers_record,
-    refers_to, payload_bytes, payload_digest, status (`ok`, or what is wrong)."""
+    """Per page record: record_id, page_id (text), record_type, refers_record,
+    refers_to, payload_bytes, payload_digest, status (`ok`, or what is wrong).
+
+    With `payload`, the last column is what the page holds, for revisits that
+    of the record they refer to (the html is its UTF-8 text).  Without it
+    payloads stay in the tasks that check them.  An archive that is cut or
+    broken gives the records before the damage and a row of type `damaged` with
+    its path as record_id.  Records that repeat give a row each; archives
+    without records, and no archives' records, give none."""
 
     with_payload, more = payload, ["payload"] * payload
     field = [("payload", pa.binary())] * payload
@@ -205,15 +227,18 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("row", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), *field])
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out, size = [], 0
-                for h, block in records(inflated(content.as_py())):
+                for h, block in readable(name, content.as_py()):
                     kind = h.get("warc-type")
+                    if kind == "damaged":
+                        out.append({"record_id": name, "record_type": kind, "status": h["status"]})
+                        continue
                     if kind not in ("response", "revisit", "continuation"):
                         continue
                     digest = h["warc-payload-digest"].removeprefix("sha256:") if "warc-payload-digest" in h else None
                     segment = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                    row = {"record_id": h.get("warc-segment-origin-id") or h["warc-record-id"], "row": h.get("x-row"), "page_id": h.get("x-page-id"), "record_type": kind, "refers": h.get("warc-refers-to"), "digest": digest, "segment": segment, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
+                    row = {"record_id": h.get("warc-segment-origin-id") or h["warc-record-id"], "row": h.get("x-row"), "page_id": unquote(h["x-page-id"]) if "x-page-id" in h else None, "record_type": kind, "refers": h.get("warc-refers-to"), "digest": digest, "segment": segment, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
                     if segment is not None:
                         row["block"] = block
                         size += len(block)
@@ -228,7 +253,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                         out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    parsed = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _PARSED + ", payload binary" * with_payload))
+    parsed = saved(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, _PARSED + ", payload binary" * with_payload))
 
     # only records in segments travel with their blocks; a group is one page
     parts = parsed.filter("segment IS NOT NULL").groupBy("record_id", "row").agg(
@@ -255,9 +280,12 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     revisits = parsed.filter("record_type = 'revisit'").select("record_id", "page_id", "refers", "digest")
     origin = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("status").alias("origin_status"), *more).dropDuplicates(["refers"])
     status = F.when(F.col("origin_status").isNull(), "bad: nothing to revisit").when(F.col("origin_status") != "ok", F.col("origin_status")).when(F.col("digest") != F.col("payload_digest"), "bad: payload digest").otherwise("ok")
-    # many revisits of one record are one skewed key, which AQE splits
-    resolved = revisits.join(origin, "refers", "left").select("record_id", "page_id", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_record"), "refers_to", "payload_bytes", "payload_digest", status.alias("status"), *more)
-    return responses.select("record_id", "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_record"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "status", *more).unionByName(resolved)
+    uses = saved(revisits.groupBy("refers").agg(F.count("*").alias("n")))
+    # one record may have very many revisits
+    revisits = revisits.withColumn("__salt", F.monotonically_increasing_id())
+    resolved = spread_join(revisits, origin, "refers", F.col("__salt"), heavy(uses, "refers", "n"), "left").select("record_id", "page_id", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_record"), "refers_to", "payload_bytes", "payload_digest", status.alias("status"), *more)
+    damaged = parsed.filter("record_type = 'damaged'").select("record_id", F.lit(None).cast("string").alias("page_id"), "record_type", *(F.lit(None).cast("string").alias(c) for c in ("refers_record", "refers_to")), "payload_bytes", "payload_digest", "status", *more)
+    return damaged.unionByName(responses.select("record_id", "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_record"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "status", *more)).unionByName(resolved)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +294,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
     found = read_archives(spark, path, payload=False)
+    # whatever the archives can't tell is a row with nulls, not a row less
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
