@@ -717,3 +717,135 @@ def test_issues_hold_raw_and_suggested_values(spark):
     layer = canon(spark, [{"zone": "NORTH", "avg_speed_kmph": 150.0}])
     got = {r["issue_type"]: (r["raw_value"], r["suggested_value"], r["treatment"]) for r in quality.quality_issues(layer).collect() if r["issue_type"] != "missing"}
     assert got == {"case_variant": ("NORTH", "North", "canonicalize_case_only"), "extreme_value": ("150.0", None, "retain_flag_exclude_primary_analysis")}
+
+
+def test_stream_upkeeps_a_summary(spark, tmp_path):
+    from tidemark.sources.store import Store
+    from tidemark.streaming.refresh import summary_each
+
+    source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    summarise = lambda rows: rows.groupBy("city").agg(F.count("*").alias("rows"))
+    for cities in (["Pune", "Pune", "Goa"], ["Goa"], []):
+        if cities:
+            raw(spark, [{"city": c} for c in cities]).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(raw(spark, [{}]).schema).parquet(source)
+        summary_each(stream, store, str(tmp_path / "state"), summarise, ["city"], "rows").start().awaitTermination()
+    assert sorted(map(tuple, store.layer("summary").collect())) == [("Goa", 2), ("Pune", 2)]
+    label = store.current()["label"]
+    # the same batches again, as after a lost checkpoint, are known by their numbers
+    summary_each(spark.readStream.schema(raw(spark, [{}]).schema).parquet(source), store, str(tmp_path / "other"), summarise, ["city"], "rows").start().awaitTermination()
+    assert store.current()["label"] == label and sorted(map(tuple, store.layer("summary").collect())) == [("Goa", 2), ("Pune", 2)]
+
+
+def test_flag_summary_by_deltas_equals_a_rebuild(spark):
+    """Random refreshes: flags come and go, and the upkept summary follows."""
+    rng = np.random.default_rng(7)
+    schema = "flag_type string, field_name string, k int"
+    make = lambda n: [(str(rng.choice(["missing", "outlier"])), str(rng.choice(["zone", "speed", "temp"])), int(k)) for k in rng.integers(0, 5, n)]
+    flags = make(30)
+    summary = quality.flag_summary(spark.createDataFrame(flags, schema))
+    for _ in range(4):
+        gone = [flags.pop(int(rng.integers(0, len(flags)))) for _ in range(int(rng.integers(0, len(flags))))]
+        new = make(int(rng.integers(0, 10)))
+        flags += new
+        delta = quality.flag_delta(spark.createDataFrame(gone, schema), spark.createDataFrame(new, schema))
+        summary = spark.createDataFrame(quality.with_delta(summary, delta).collect(), "flag_type string, field_name string, flags long")
+        assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, quality.flag_summary(spark.createDataFrame(flags, schema)).collect()))
+
+
+def test_a_quote_in_a_parameter_is_data(spark):
+    layer = canon(spark, [{"city": "O'Hara"}, {"city": "x' OR '1'='1"}, {"city": "Pune"}])
+    picked = lambda **how: sorted(r["city"] for r in api.filtered_sql(layer, api.Selection(**how)).collect())
+    assert picked(cities=("O'Hara",)) == ["O'Hara"] and picked(cities=("x' OR '1'='1", ":p0")) == ["x' OR '1'='1"]
+    assert len(picked()) == len(picked(cities=(), hours=())) == 3 and picked(zones=("Nowhere",)) == []
+    for choice in (api.Selection(cities=("Pune",), hours=(0,), start="2025-12-31", end="2026-01-01", primary_only=True), api.Selection(start="2026-01-02")):
+        assert sorted(api.filtered_sql(layer, choice).collect()) == sorted(api.filtered(layer, choice).collect())
+
+
+def test_runs_and_contracts_in_the_store(spark, tmp_path):
+    from tidemark.operators import governance
+    from tidemark.sources.store import NoManifest, Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(NoManifest):
+        store.current()
+    governance.record_run(store, {"raw": spark.range(3), "canonical": spark.range(2)})
+    governance.record_run(store, {"raw": spark.range(5)}, ("models",))
+    rows = {r["contract_key"]: (r["status"], r["run"], r["rows"]) for r in governance.current_contracts(store).collect()}
+    assert rows["provenance"] == ("protocol_registered", 2, 5) and rows["models"] == ("completed", 1, 2) and rows["quality_decisions"][1:] == (None, None)
+
+
+def test_texts_for_readers(spark, tmp_path):
+    table = spark.createDataFrame([("a|b", 1234.5), (None, None), ("line\nbreak", 2.0)], "name string, x double")
+    assert api.markdown(table).split("\n")[2:] == ["| a\\|b | 1234.5 |", "|  |  |", "| line break | 2.0 |"]
+    assert api.markdown(table, 1).split("\n")[-1] == "2 more rows are not shown."
+    assert [r[0] for r in table.select(api.display(F.col("x"))).collect()] == ["1,234.50", "n.a.", "2.00"]
+    sources.write_csv(table, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert {r["name"] for r in back.collect()} == {"a|b", None, "line\nbreak"}
+
+
+def test_weather_documents(spark):
+    text = '{"t2m_max": {"20260101": 31.5, "20260102": -999.0}, "t2m_min": {"20260101": 12.0}}'
+    rows = sources.readings_from_json(spark.createDataFrame([(text,), ("broken",), (None,)], "j string"), "j").collect()
+    assert sorted(map(tuple, rows)) == [("t2m_max", "20260101", 31.5), ("t2m_min", "20260101", 12.0)]
+
+
+def test_run_log_is_json(spark):
+    import json
+
+    from tidemark.operators import governance
+
+    row = governance.run_log(spark, "refresh", {"rows": 5, "note": 'a "b"'}).first()
+    assert row["stage"] == "refresh" and json.loads(row["details_json"]) == {"rows": 5, "note": 'a "b"'} and row["ended_at"] is not None
+
+
+def test_stacked_fits_against_numpy(spark):
+    """All folds of a count and a real metric together, against one at a time."""
+    from tidemark.operators import stacked
+
+    rng = np.random.default_rng(3)
+    begin = dt.datetime(2026, 1, 1)
+    made = [{"record_id": f"R{k:04d}", "city": ["Pune", "Delhi"][int(rng.integers(0, 2))], "temperature_c": float(20 + 3 * (k % 6) + rng.standard_t(2)), "road_incidents": int(rng.poisson(3 + k % 4)), "timestamp_text": str(begin + dt.timedelta(hours=4 * k))} for k in range(400)]
+    layer = canon(spark, made).withColumn("probable_error", F.lit(False))
+    names = ["temperature_c", "road_incidents"]
+    stack = stacked.stacked(layer, names, True)
+    models_ = stacked.fit_all(stack, stacked.split(stack, names, 20, 100))
+    assert len(models_) == 6 and all(m.converged and 1 < m.rounds < stacked.ROUNDS for m in models_)
+    table = stack.rows.toPandas().sort_values(["m", "pos"])
+    for m in models_:
+        own = table[table["m"] == METRICS.index(m.metric)].iloc[: m.train]
+        X, y = stack.recipe.design(np.stack(own["codes"]), own["lag"].to_numpy()), own["y"].to_numpy()
+        if m.metric == "temperature_c":
+            beta = models.solve(models._moments(X, np.ones(len(y)), y), X.shape[1])
+            for _ in range(200):
+                r = y - X @ beta
+                scale = models.MAD_FACTOR * np.median(np.abs(r - np.median(r)))
+                beta = models.solve(models._moments(X, models.huber_weights(r, scale), y), X.shape[1])
+            assert m.fit.family == "huber" and np.allclose(X @ m.fit.beta, X @ beta, atol=0.02)
+        else:
+            beta = np.zeros(X.shape[1])
+            beta[0] = np.log(y.mean())
+            for _ in range(100):
+                mu = np.exp(X @ beta)
+                beta = models.solve(models._moments(X, mu, X @ beta + y / mu - 1), X.shape[1])
+            assert m.fit.family == "poisson" and np.allclose(X @ m.fit.beta, X @ beta, atol=1e-4)
+            assert abs(m.fit.dispersion - ((y - mu) ** 2 / mu).sum() / (len(y) - X.shape[1])) < 1e-3
+    cut = stacked.fit_all(stack, stacked.split(stack, names, 20, 100), rounds=1)
+    assert not any(m.converged for m in cut) and {m.rounds for m in cut} == {1}
+
+
+def test_lagged_forecast_scores_against_pandas(spark):
+    rng = np.random.default_rng(5)
+    made = [{"record_id": f"R{k:04d}", "city": ["Pune", "Delhi"][k % 2], "road_incidents": int(rng.poisson(4)), "timestamp_text": str(dt.datetime(2026, 1, 1) + dt.timedelta(hours=4 * k))} for k in range(240)]
+    layer = canon(spark, made).withColumn("probable_error", F.lit(False))
+    rows = models.lagged_forecast(layer, ["road_incidents"], replicates=300).orderBy("fold").collect()
+    table = layer.toPandas().sort_values(["ts", "record_id"]).reset_index(drop=True)
+    table["lag"] = table.groupby("city")["road_incidents"].shift(1)
+    table = table[table["lag"].notna()].reset_index(drop=True)
+    for r, (_, a, b) in zip(rows, FOLDS):
+        train, test = table[: int(len(table) * a)], table[int(len(table) * a) : int(len(table) * b)]
+        known, city = train.groupby(["city", "month"])["road_incidents"].median(), train.groupby("city")["road_incidents"].median()
+        base = [known.get((c, m), city[c]) for c, m in zip(test["city"], test["month"])]
+        assert r["test_n"] == len(test) and np.isclose(r["baseline_mae"], np.abs(test["road_incidents"] - base).mean()) and r["converged"]
+        assert r["mae_low"] < r["model_mae"] < r["mae_high"] and r["r2_low"] <= r["r2"] <= r["r2_high"]
