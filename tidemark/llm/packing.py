@@ -3,11 +3,10 @@
 Documents become token ids; only those longer than a sequence are cut.  Pieces
 are dealt at random into groups of bounded size, and each group is packed by
 the sum-of-squares rule: with N(g) open bins of residual gap g, a piece of
-length s goes to the open bin for which the sum of N(g)**2 becomes smallest.
-Pieces come longest first and a bin is opened only when no open bin has room,
-so a group leaves at most one bin less than half full; with thousands of
-pieces a group that is a small part of one per cent.  Only lengths and digests
-travel to the groups; `sequences` joins the ids to the places.
+length s goes where the sum of N(g)**2 becomes smallest, opening a bin being
+weighed like any other place.  Pieces come longest first.  The README compares
+orders, and openings as a last resort, with the bound.  Only lengths and
+digests travel to the groups; `sequences` joins the ids to the places.
 """
 
 from __future__ import annotations
