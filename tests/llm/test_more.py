@@ -320,3 +320,65 @@ def test_archives_of_no_pages(spark, tmp_path):
 
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert warc.read_archives(spark, str(tmp_path / "a")).count() == 0
+
+
+# 9 Ogg: a second reader, byte by byte
+
+
+def crc_by_bits(page):
+    crc = 0
+    for b in page:
+        crc ^= b << 24
+        for _ in range(8):
+            crc = ((crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def plain_pages(media):
+    """(serial, number, flags, granule, segments, body) of each page, and the bytes read."""
+    at, out = 0, []
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\0"
+        flags, granule = media[at + 5], int.from_bytes(media[at + 6 : at + 14], "little", signed=True)
+        serial, number, crc = (int.from_bytes(media[at + k : at + k + 4], "little") for k in (14, 18, 22))
+        segments = media[at + 27 : at + 27 + media[at + 26]]
+        end = at + 27 + len(segments) + sum(segments)
+        assert crc == crc_by_bits(media[at : at + 22] + bytes(4) + media[at + 26 : end])
+        out.append((serial, number, flags, granule, segments, media[at + 27 + len(segments) : end]))
+        at = end
+    return out
+
+
+def test_ogg_digests_and_features_by_a_second_reader(spark):
+    from tidemark.llm import ogg
+
+    texts = ["", None, "one", "é日本 " * 90, "x" * 576, "tab\t and line\n" * 700]
+    df = clashing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "media", "status", "payload", "times")
+    stored = ogg.encode(df).collect()
+    read = {r["doc_id"]: r for r in ogg.decode(spark.createDataFrame([(r["doc_id"], r["media"]) for r in stored], "doc_id long, media binary"), payload=False).collect()}
+    for row in stored:
+        r, raw, media = read[row["doc_id"]], (texts[row["doc_id"]] or "").encode(), bytes(row["media"])
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or 576 * (not raw))
+        pages = plain_pages(media)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        tracks, last = {}, {}
+        for serial, number, flags, granule, segments, body in pages:
+            own = tracks.setdefault(serial, [b""])
+            assert bool(flags & 2) == (number == 0)
+            at = 0
+            for size in segments:
+                own[-1] += body[at : at + size]
+                at += size
+                if size < 255:
+                    own.append(b"")
+            if granule > 0:
+                last[serial] = granule
+        packets = {s: own[1:-1] for s, own in tracks.items()}
+        frames = {s: [b"".join(p)[k : k + 576] for k in range(0, len(b"".join(p)), 576)] for s, p in packets.items()}
+        line = [frames[s][k] for k in range(max(map(len, frames.values()))) for s in sorted(frames) if k < len(frames[s])]
+        assert b"".join(line) == payload
+        samples = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:]))
+        starts = [sum(map(len, p[:-1])) / 8000 for p in packets.values() if p]
+        expected = f"streams={len(tracks)};pages={len(pages)};packets={sum(map(len, packets.values()))};seconds={max(last.values()) / 8000:.3f};last_start={max(starts):.3f};mean={sum(samples) / len(samples):.4f};energy={sum(x * x for x in samples)};crossings={crossings}"
+        assert r["feature"] == expected
