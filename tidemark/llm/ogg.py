@@ -198,7 +198,9 @@ def describe(payload: bytes, read: dict) -> str:
 
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column and media, the Ogg file of the text's UTF-8 bytes, padded with
-    bytes 255 to a positive multiple of 576.  A null text is an empty one."""
+    bytes 255 to a positive multiple of 576.  A null text is an empty one;
+    equal texts give equal files; rows that repeat give a file each; empty in,
+    empty out.  A text longer than a slice is a slice of its own."""
 
     def kernel(data, offsets):
         raw = data.tobytes()
