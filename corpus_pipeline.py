@@ -27,7 +27,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores LOWEST_SCORE or more.  It
     learns from the labelled rows of the raw documents, since those left by
-    the rules are nearly all of one class."""
+    the rules are nearly all of one class.  Null and empty texts are scored as
+    texts without words; rows that repeat are scored each; without usable
+    labels all stay; empty in, empty out."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality_classifier.fit(saved(quality_classifier.document_statistics(raw, ["doc_id"])), labels)
@@ -54,13 +56,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the shares of mixing.WEIGHTS: a document is a row for each of
-    its copies, or none."""
+    its copies, or none.  A null source is one of its own, texts without words
+    are taken by no one, rows that repeat take part each; empty in, empty out."""
     sized = worker.boxed(docs, "doc_id", "source", mixing.word_count().alias("size"))
     return mixing.emit(mixing.with_copies(sized)).select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all copies, packed into sequences."""
+    """The pieces of all copies, packed into sequences.  A null or empty text
+    is the end token alone; rows that repeat are packed each; empty in, empty
+    out."""
     return packing.pack_documents(docs)
 
 
