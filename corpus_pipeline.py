@@ -56,8 +56,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the shares of mixing.WEIGHTS: a document is a row for each of
-    its copies, or none.  A null source is one of its own, texts without words
-    are taken by no one, rows that repeat take part each; empty in, empty out."""
+    its copies, or none.  A null source is one of its own, a text without
+    words has size 0 and takes part like others, a source without words has no
+    copies, rows that repeat take part each; empty in, empty out."""
     sized = worker.boxed(docs, "doc_id", "source", mixing.word_count().alias("size"))
     return mixing.emit(mixing.with_copies(sized)).select("__row.*")
 
