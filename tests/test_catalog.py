@@ -32,13 +32,15 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-FEW = ["dashboard_city_zone", "dedup_log", "coverage_audit", "quality_decisions", "neighbour_validation", "spearman_pairs", "hypothesis_gates", "permutation_eta_small", "imputation_methods", "baseline_folds"]
+FEW = ["dashboard_city_zone", "dedup_log", "coverage_audit", "quality_decisions", "neighbour_validation", "spearman_pairs", "hypothesis_gates", "permutation_eta_small", "imputation_methods", "baseline_folds", "quality_flags", "flags_appended", "latest_contracts", "latest_run", "model_registry", "filtered_sql", "flag_summary_refreshed", "scenario_inference"]
 
 
 @pytest.mark.parametrize("name", FEW if not os.environ.get("ALL_QUERIES") else sorted(oracle.SQL))
 def test_query(spark, duck, name):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
     got, expected = normal(catalog.QUERIES[name](spark, SF).toPandas()), normal(duck.sql(oracle.SQL[name]).df())
     pd.testing.assert_frame_equal(got, expected, check_dtype=False)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # nothing stays persisted
 
 
 def test_names():
