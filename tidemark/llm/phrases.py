@@ -38,7 +38,7 @@ DEPTH, LEAST_CELLS, MOST_CELLS, BLOCK = 2, 1 << 20, 1 << 28, 1 << 16
 #: Cells of a row for each phrase that could reach the least count.
 ROOM = 8
 #: Cells that a task holds before it sends them.
-HELD_CELLS = 1 << 23
+HELD_CELLS = 1 << 22
 #: Language of documents that have none.
 NONE = "und"
 _U = np.uint64
