@@ -241,6 +241,38 @@ def test_wrapped_notices(spark):
     assert not wrong
 
 
+def test_licences_equal_sql(spark, tmp_path):
+    """Every statement plain, wrapped behind comment markers, cut in two and
+    behind other text, in documents of every kind of path, against the SQL."""
+    import textwrap
+
+    import duckdb
+
+    texts = ["", None, " \n\n ", "code\r\n\r\nReleased under the MIT License.\r\n"]
+    for k, (_, notice) in enumerate(licenses.TEMPLATES + licenses.NOTICES):
+        mark = ("# ", " * ", "// ", "<!-- ", "")[k % 5]
+        wrapped = "\n".join(mark + line for line in textwrap.wrap(notice, 40))
+        texts += [notice, f"{mark}some title\n{mark.rstrip()}\n{wrapped}\n\ncode", f"x y. {notice[: len(notice) // 2]}\n\n{notice[len(notice) // 2 :]}", f"{notice} {licenses.TEMPLATES[k % 7][1]}\n{wrapped}"]
+    texts += prose(150, 3)
+    ids = list(range(0, 37 * len(texts), 37))
+    rows = [(i, t, "en" if k % 3 else None, f"s{k % 2}" if k % 5 else None, None) for k, (i, t) in enumerate(zip(ids, texts))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = licenses.op4_licenses(spark, str(tmp_path))
+    found = duckdb.sql(licenses.ORACLE["op4_licenses"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == set(found) and len(found) == len(texts)
+    assert {r[5] for r in found} == {"own", "inherited", "none"} and len({r[1] for r in found}) > 12
+
+
+def test_one_licensed_text_and_one_directory_for_all_rows(spark):
+    df = spark.range(3000).select(F.col("id"), F.lit("Released under the MIT License.").alias("text"))
+    df = df.union(spark.range(3000, 5000).select("id", F.lit(None).cast("string")))
+    got = licenses.scan(df, "id", F.concat(F.lit("a/"), F.col("id")), F.col("id") == 7)
+    counts = {(r["license"], r["origin"]): r["count"] for r in got.groupBy("license", "origin").count().collect()}
+    assert counts == {("MIT", "own"): 3000, ("MIT", "inherited"): 2000}
+    assert licenses.scan(df.limit(0), "id", F.lit(None).cast("string"), F.lit(True)).count() == 0
+
+
 def test_markers_are_lossless():
     idf = {w: 1.0 + len(w) % 3 for w in licenses.VOCABULARY}
     vectors = licenses.template_weights(idf)
