@@ -14,7 +14,7 @@ import xxhash
 from brute import LOWER
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, fingerprints, phrases
+from tidemark.llm import centroids, fingerprints, licenses, phrases
 
 VECTORS = "vec_id long, embedding array<double>"
 DOCS = "doc_id long, text string, lang string"
@@ -382,3 +382,50 @@ def test_ogg_digests_and_features_by_a_second_reader(spark):
         starts = [sum(map(len, p[:-1])) / 8000 for p in packets.values() if p]
         expected = f"streams={len(tracks)};pages={len(pages)};packets={sum(map(len, packets.values()))};seconds={max(last.values()) / 8000:.3f};last_start={max(starts):.3f};mean={sum(samples) / len(samples):.4f};energy={sum(x * x for x in samples)};crossings={crossings}"
         assert r["feature"] == expected
+
+
+# 4 licences with very common words
+
+
+def generated(spark, since):
+    """The most rows that a Generate of an execution from number `since` on made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, most = store.executionsList(), 0
+    for i in range(executions.size()):
+        number = executions.apply(i).executionId()
+        if number < since:
+            continue
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size()) if node.name() == "Generate"):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most
+
+
+def test_common_words_of_licences_make_no_rows(spark, tmp_path):
+    """A word pair with a marker word, many times in many texts, as one passage
+    and as many, is scored without a row per word, passage or line of it."""
+    import duckdb
+
+    notice = licenses.TEMPLATES[0][1]
+    texts = [f"Item {k}. " + ("is license " * 200 if k % 2 else "is license. " * 200 + "is license\n" * 200) for k in range(40)]
+    texts += [texts[k] + f"\n\n{notice}\n\n" * (1 + k) + (licenses.TEMPLATES[3][1] if k % 3 else f"{notice}\n{notice}") for k in range(8)]
+    # a word that is stated twice, or that no template has, counts for the norm
+    texts += [notice.replace("MIT", "MIT " + more) for more in ("MIT", "mit license license", "any any", "x x", "x y", "released released released")]
+    texts += [f"item {k} of many" for k in range(600)]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList()
+    since = 1 + max((before.apply(i).executionId() for i in range(before.size())), default=-1)
+    got = {tuple(r) for r in licenses.op4_licenses(spark, str(tmp_path)).collect()}
+    profile = licenses.profiled(spark.read.parquet(str(tmp_path / "documents.parquet")), "text", F.col("doc_id"))
+    idf, _ = licenses.inverse_frequencies(profile)
+    assert "license" in licenses.markers(licenses.template_weights(idf, licenses.TEMPLATES + licenses.NOTICES))
+    found = duckdb.sql(licenses.ORACLE["op4_licenses"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert got == set(found) and len(found) == len(texts)
+    assert len({r[2] for r in found}) > 4 and {r[3] for r in found} == {0, 1, 2}
+    assert 0 < generated(spark, since) < 6 * len(texts)
