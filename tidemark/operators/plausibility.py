@@ -45,12 +45,14 @@ def neighbour_validation(layer: DataFrame, daily: DataFrame, tolerance: float =
     Neighbours are the readings before and after of the same city that have a
     temperature, in order of (ts, record_id).
     """
-    known = layer.filter("temperature_c IS NOT NULL").select("record_id", "city", "ts", "temperature_c")
+    known = layer.filter("temperature_c IS NOT NULL").select("record_id", "city", "month", "ts", "temperature_c")
     near = neighbours(known, "city", ["ts", "record_id"], ["temperature_c"])
-    near = near.select("record_id", F.col("prev.temperature_c").alias("prev_c"), F.col("next.temperature_c").alias("next_c"))
+    near = near.select("record_id", "city", "month", "temperature_c", F.col("prev.temperature_c").alias("prev_c"), F.col("next.temperature_c").alias("next_c"))
+    none = F.lit(None).cast(layer.schema["temperature_c"].dataType)
+    rest = layer.filter("temperature_c IS NULL").select("record_id", "city", "month", "temperature_c", none.alias("prev_c"), none.alias("next_c"))
     t = F.col("temperature_c")
-    envelope = month_envelope(daily)
-    rows = layer.select("record_id", "city", "month", "temperature_c").join(near, "record_id", "left").join(envelope, ["city", "month"], "left")
+    # a row for each city and month
+    rows = near.unionByName(rest).join(F.broadcast(month_envelope(daily)), ["city", "month"], "left")
     plausible = F.when(t.isNull() | F.col("low").isNull(), "unknown").when(t.between(F.col("low"), F.col("high")), "plausible").otherwise("implausible")
     spread = F.greatest("prev_c", t, "next_c") - F.least("prev_c", t, "next_c")
     status = F.when(t.isNull(), "unknown").when(F.col("prev_c").isNull() | F.col("next_c").isNull(), "insufficient").when(spread <= tolerance, "consistent").otherwise("inconsistent")
